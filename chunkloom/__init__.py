@@ -1 +1,10 @@
-"""Planning and analysis of chunked media work as tables, on Spark."""
+"""Planning and analysis of chunked media work as tables, on Spark.
+
+Functions that run in Python workers are shipped by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def finished(chunks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,7 +17,7 @@ def pending(chunks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.join(done.where(F.col("size_bytes") > 0).select(*keys, "frames", "size_bytes"), [*keys, "frames", "size_bytes"], "left_anti")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """FNV-1a over the UTF-8 bytes, 64 bits as 16 hexadecimal digits; null stays null."""
 
@@ -29,7 +30,7 @@ def fnv1a(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fit_name(name: pd.Series, suffix: pd.Series) -> pd.Series:
     """The name cut at a character's end so that with the suffix it has 255 bytes at most."""
     return pd.Series([n.encode("utf-8")[: 255 - len(s.encode("utf-8"))].decode("utf-8", "ignore") + s if n is not None and s is not None else None for n, s in zip(name, suffix, strict=True)], dtype=object)
