@@ -33,7 +33,7 @@ from . import common
 from .tokenizing import LATIN, tokenizer
 
 MAGIC = b"PLANES\x01\x00"
-KEEP = 300_000
+KEEP = 500_000
 #: Fixed value: the split pattern of the word-end BPE file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WIDTH = {"byte": 4, "bit": 32}
@@ -93,14 +93,22 @@ def unpack(segment: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield (int(doc_ids[i]) if known[i] else None), ids[end[i] - counts[i] : end[i]]
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: visible Latin-1 letters stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 0x100 + k for k, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Texts to ids as the library gives them; the pieces of known words are looked up, up to KEEP words."""
+    """Texts to ids as the library gives them; the pieces of known words (between white space) are looked up, up to KEEP words."""
 
     def __init__(self, blob: bytes):
         import json
 
         self.library, self.split, self.known = tokenizer(blob), regex.compile(WORD_PATTERN).findall, {}
         self.specials = [t["content"] for t in json.loads(blob)["added_tokens"]]
+        self.model, self.visible = self.library.model, byte_letters()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -111,12 +119,14 @@ class WordEncoder:
             if not LATIN.fullmatch(text) or any(s in text for s in self.specials):
                 out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                words[i] = self.split(unicodedata.normalize("NFC", text).lower())
+                words[i] = unicodedata.normalize("NFC", text).lower().split()
         if len(self.known) > KEEP:
             self.known.clear()
         new = list(set().union(*words.values()) - self.known.keys())
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        pieces = self.model.tokenize  # a word is normalised and split already, so the library's model alone is asked
+        for w in new:
+            ids = [p.id for x in self.split(w) for p in pieces(x.encode("utf-8").decode("latin-1").translate(self.visible))]
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
         get = self.known.__getitem__
         for i, w in words.items():
             out[i] = b"".join(map(get, w))

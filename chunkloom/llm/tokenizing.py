@@ -7,8 +7,8 @@ import regex
 #: Code points below U+0378, general punctuation, kana, unified ideographs and Hangul syllables were
 #: assigned long ago, so all Unicode versions class them alike; other texts go to the library whole.
 SETTLED = regex.compile(r"[\u0000-\u0377\u2000-\u2064\u3000\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*")
-#: Latin letters and punctuation only: lower case is the same letter by letter and for the whole text.
-LATIN = regex.compile(r"[\u0000-\u012f\u0131-\u036f\u2000-\u2064]*")
+#: Latin letters and punctuation only, without U+001C to U+001F, which not all call white space: lower case is the same letter by letter and for the whole text.
+LATIN = regex.compile(r"[\u0000-\u001b\u0020-\u012f\u0131-\u036f\u2000-\u2064]*")
 
 
 def tokenizer(blob: bytes):
