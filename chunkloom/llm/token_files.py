@@ -33,7 +33,8 @@ from . import common
 from .tokenizing import LATIN, tokenizer
 
 MAGIC = b"PLANES\x01\x00"
-KEEP = 500_000
+#: Chunks in each of the two generations that an encoder remembers; half the words it remembers.
+KEEP = 250_000
 #: Fixed value: the split pattern of the word-end BPE file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WIDTH = {"byte": 4, "bit": 32}
@@ -101,35 +102,51 @@ def byte_letters() -> dict[int, int]:
 
 
 class WordEncoder:
-    """Texts to ids as the library gives them; the pieces of known words (between white space) are looked up, up to KEEP words."""
+    """Texts to ids as the library gives them; chunks between white space are looked up in two generations of KEEP, the words in new chunks among up to 2 * KEEP words."""
 
     def __init__(self, blob: bytes):
         import json
 
-        self.library, self.split, self.known = tokenizer(blob), regex.compile(WORD_PATTERN).findall, {}
+        self.library, self.split = tokenizer(blob), regex.compile(WORD_PATTERN).findall
+        self.known, self.older, self.words = {}, {}, {}
         self.specials = [t["content"] for t in json.loads(blob)["added_tokens"]]
         self.model, self.visible = self.library.model, byte_letters()
+        self.raw = [struct.pack("<I", k) for k in range(self.library.get_vocab_size())]
+
+    def word(self, w: str) -> bytes:
+        """The ids of one word: it is normalised and split already, so the library's model alone is asked."""
+        if (found := self.words.get(w)) is None:
+            letters = w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.visible)  # visible ASCII letters stand for themselves
+            found = self.words[w] = b"".join([self.raw[p.id] for p in self.model.tokenize(letters)])
+        return found
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put the ids of all these chunks into known."""
+        new = chunks - self.known.keys()
+        if len(self.known) + len(new) > KEEP:
+            self.older, self.known, new = self.known, {}, chunks
+        if len(self.words) > 2 * KEEP:
+            self.words.clear()
+        older, word, split = self.older.get, self.word, self.split
+        for c in new:
+            if (found := older(c)) is None:
+                found = word(c) if c.isalpha() else b"".join(map(word, split(c)))
+            self.known[c] = found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        words: dict[int, list[str]] = {}
+        chunks: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not LATIN.fullmatch(text) or any(s in text for s in self.specials):
                 out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                words[i] = unicodedata.normalize("NFC", text).lower().split()
-        if len(self.known) > KEEP:
-            self.known.clear()
-        new = list(set().union(*words.values()) - self.known.keys())
-        pieces = self.model.tokenize  # a word is normalised and split already, so the library's model alone is asked
-        for w in new:
-            ids = [p.id for x in self.split(w) for p in pieces(x.encode("utf-8").decode("latin-1").translate(self.visible))]
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                chunks[i] = unicodedata.normalize("NFC", text).lower().split()
+        self.learn(set().union(*chunks.values()))
         get = self.known.__getitem__
-        for i, w in words.items():
-            out[i] = b"".join(map(get, w))
+        for i, c in chunks.items():
+            out[i] = b"".join(map(get, c))
         return out
 
 
