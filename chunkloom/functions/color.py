@@ -39,9 +39,12 @@ def same_picture(a: Column, b: Column) -> Column:
     return a["transfer"].eqNullSafe(b["transfer"]) & a["primaries"].eqNullSafe(b["primaries"]) & ((a["matrix"] == "gbr") | (a["matrix"].eqNullSafe(b["matrix"]) & a["range"].eqNullSafe(b["range"])))
 
 
-def untagged_default(value: Column, height: Column) -> Column:
-    """bt709 for an untagged picture of HD height."""
-    return F.coalesce(value, F.when(height >= 720, F.lit("bt709")))
+def untagged_flags(args: Column, is_yuv: Column, source_height: Column, output_height: Column) -> Column:
+    """Flags and values (BT.709) that an untagged picture needs when a source of over 650 lines becomes one of 650 or fewer; args is an array of the flags already there."""
+    needed = is_yuv & (source_height > 650) & (output_height <= 650) & ~F.array_contains(args, "--matrix-coefficients")
+    flags = F.array(*[F.lit(f"--{x}") for x in ("color-primaries", "transfer-characteristics", "matrix-coefficients")])
+    given = F.flatten(F.transform(F.array_except(flags, args), lambda f: F.array(f, F.lit("1"))))
+    return F.when(needed, given).otherwise(F.slice(flags, 1, 0))
 
 
 def normalized_crop(w: Column, h: Column, x: Column, y: Column, src_w: Column, src_h: Column) -> Column:

@@ -5,32 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ISO 639-1, 639-2/T and 639-2/B codes of languages with more than one.
-LANGUAGES = (
-    ("de", "deu", "ger"), ("fr", "fra", "fre"), ("es", "spa", "spa"), ("en", "eng", "eng"), ("ja", "jpn", "jpn"), ("zh", "zho", "chi"), ("nl", "nld", "dut"),
-    ("cs", "ces", "cze"), ("el", "ell", "gre"), ("fa", "fas", "per"), ("ro", "ron", "rum"), ("sk", "slk", "slo"), ("it", "ita", "ita"), ("pt", "por", "por"),
-    ("ru", "rus", "rus"), ("ko", "kor", "kor"), ("pl", "pol", "pol"), ("sv", "swe", "swe"), ("da", "dan", "dan"), ("fi", "fin", "fin"), ("hu", "hun", "hun"),
-    ("tr", "tur", "tur"), ("is", "isl", "ice"), ("hy", "hye", "arm"), ("ka", "kat", "geo"), ("eu", "eus", "baq"), ("cy", "cym", "wel"), ("sq", "sqi", "alb"),
-    ("mk", "mkd", "mac"), ("mi", "mri", "mao"), ("ms", "msa", "may"), ("my", "mya", "bur"), ("bo", "bod", "tib"),
+#: Languages that ISO 639-2 spells twice, bibliographic code first.
+TWICE_SPELLED = (
+    ("alb", "sqi"), ("arm", "hye"), ("baq", "eus"), ("bur", "mya"), ("chi", "zho"), ("cze", "ces"), ("dut", "nld"), ("fre", "fra"), ("geo", "kat"), ("ger", "deu"),
+    ("gre", "ell"), ("ice", "isl"), ("mac", "mkd"), ("mao", "mri"), ("may", "msa"), ("per", "fas"), ("rum", "ron"), ("slo", "slk"), ("tib", "bod"), ("wel", "cym"),
 )
 #: Names of channel layouts by number of channels; more than eight are 7.1.
-LAYOUTS = ("mono", "stereo", "2.1", "quad", "5.0", "5.1", "6.1", "7.1")
+LAYOUTS = ("mono", "stereo", "3.0", "quad", "5.0", "5.1", "6.1", "7.1")
 
 
 def language_key(tag: Column) -> Column:
-    """A tag's base subtag in lower case, one code for all of a language's."""
-    base = F.lower(F.substring_index(F.trim(tag), "-", 1))
-    known = F.create_map(*[F.lit(x) for row in LANGUAGES for code in dict.fromkeys(row) for x in (code, row[1])])
-    return F.coalesce(F.try_element_at(known, base), base)
+    """A tag's base subtag in lower case; both ISO 639-2 spellings of a language have one key. Two-letter codes stay apart from three-letter ones."""
+    base = F.regexp_extract(F.lower(F.trim(tag)), "^[^-_]*", 0)
+    spelled = F.create_map(*[F.lit(x) for pair in TWICE_SPELLED for x in pair])
+    return F.coalesce(F.try_element_at(spelled, base), base)
 
 
 def language_selected(tag: Column, whitelist: list[str]) -> Column:
-    """An empty whitelist keeps all; a missing, blank or undetermined tag is kept; of a comma list any match keeps."""
+    """An empty whitelist keeps all; a comma list of which any language matches is kept, and so is one without any known language (missing, blank, und)."""
     if not whitelist:
         return F.lit(True)
-    wanted = F.array(*[language_key(F.lit(w)) for w in whitelist])
-    missing = tag.isNull() | (F.trim(tag) == "") | (F.lower(F.trim(tag)) == "und")
-    return missing | F.exists(F.split(F.coalesce(tag, F.lit("")), ","), lambda t: F.array_contains(wanted, language_key(t)))
+    wanted = F.array(*[language_key(F.lit(w)) for w in whitelist if w.strip()]).cast("array<string>")
+    said = F.filter(F.transform(F.split(F.coalesce(tag, F.lit("")), ","), lambda t: F.trim(t)), lambda t: (t != "") & (F.lower(t) != "und"))
+    return (F.size(said) == 0) | F.exists(said, lambda t: F.array_contains(wanted, language_key(t)))
 
 
 def selected_with_fallback(tag: Column, legacy: Column, whitelist: list[str]) -> Column:
@@ -56,10 +53,11 @@ def bitrate_for(rates: Column, layout: Column) -> Column:
 
 def parse_bitrate(text: Column) -> Column:
     """Bits per second: digits, optionally k, K (thousands) or M (millions); null if malformed or not above 0."""
-    number = F.regexp_extract(text, r"^([0-9]*\.?[0-9]+)([kKM]?)$", 1).try_cast("double")
-    unit = F.regexp_extract(text, r"^([0-9]*\.?[0-9]+)([kKM]?)$", 2)
+    pattern = r"^([0-9]+\.?[0-9]*|\.[0-9]+)([kKM]?)$"
+    number = F.regexp_extract(F.trim(text), pattern, 1).try_cast("double")
+    unit = F.regexp_extract(F.trim(text), pattern, 2)
     value = number * F.when(unit == "M", 1e6).when(unit.isin("k", "K"), 1e3).otherwise(1e0)
-    return F.when(value >= 1, F.floor(value).cast("long"))
+    return F.when(value > 0, F.floor(value).cast("long"))
 
 
 def scalar_text(kind: Column, text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chunkloom.functions import color, media
 from chunkloom.operators import catalog, intervals, matching, metrics, rules, search, state, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,7 +174,7 @@ def vote_verdict(spark, sf):
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NULL OR trim(lang) IN ('', 'und', 'de', 'es') GROUP BY lang")
 def language_filter(spark, sf):
-    return _table(spark, sf, "documents").where(rules.language_selected(F.col("lang"), ["ger", "spa"])).groupBy("lang").agg(F.count("*").alias("n"))
+    return _table(spark, sf, "documents").where(rules.language_selected(F.col("lang"), ["de", "es"])).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, n_chars, lang FROM documents d WHERE (SELECT count(*) FROM documents e WHERE e.n_chars = d.n_chars AND e.lang = d.lang) = 1")
@@ -241,7 +242,7 @@ def vfr_test(spark, sf):
     return timeline.frame_rate_kind(_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.alias("t")), ["l_orderkey"], "t", F.lit(10), ["l_linenumber"])
 
 
-@query("""WITH l AS (SELECT p_partkey, ['mono', 'stereo', '2.1', 'quad', '5.0', '5.1', '6.1', '7.1'][CAST(greatest(1, least(8, p_size % 10)) AS BIGINT)] AS layout FROM part)
+@query("""WITH l AS (SELECT p_partkey, ['mono', 'stereo', '3.0', 'quad', '5.0', '5.1', '6.1', '7.1'][CAST(greatest(1, least(8, p_size % 10)) AS BIGINT)] AS layout FROM part)
 SELECT p_partkey, layout, CASE layout WHEN 'stereo' THEN '160k' WHEN '5.1' THEN '384k' ELSE '96k' END AS bitrate FROM l""")
 def layout_name(spark, sf):
     p = _table(spark, sf, "part").select("p_partkey", rules.layout_name(F.col("p_size") % 10).alias("layout"))
@@ -336,3 +337,61 @@ def curve_search(spark, sf):
     """Search of the best setting on curves made of a part's line items (no SQL: data-dependent iteration)."""
     li = _table(spark, sf, "lineitem").select("l_partkey", F.col("l_quantity").alias("crf"), (F.lit(10e0) - F.col("l_quantity") / 25).alias("jod"), (F.lit(120e0) * F.exp(-F.col("l_quantity") / 20)).alias("size"))
     return search.solve_curves(li, "l_partkey", target=9.2, cap=90.0)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'pcm_f32le' WHEN l_partkey % 40 BETWEEN 1 AND 16 OR (l_partkey % 40 = 0 AND l_returnflag = 'N') THEN 'pcm_s16le'
+  WHEN l_partkey % 40 BETWEEN 17 AND 24 THEN 'pcm_s24le' ELSE 'pcm_s32le' END AS codec FROM lineitem""")
+def pcm_codec(spark, sf):
+    kind = F.when(F.col("l_returnflag") == "A", "fltp").when(F.col("l_returnflag") == "N", "s16").otherwise("s32p")
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", media.pcm_codec(kind, F.col("l_partkey") % 40).alias("codec"))
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' (Opus)' WHEN 1 THEN '' ELSE p_name END AS title FROM part)
+SELECT p_partkey, CASE WHEN title = '' THEN 'Opus' ELSE regexp_replace(title, '\\s*\\(Opus\\)$', '') || ' (Opus)' END AS title FROM t""")
+def marked_title(spark, sf):
+    title = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (Opus)"))).when(F.col("p_partkey") % 3 == 1, "").otherwise(F.col("p_name"))
+    return _table(spark, sf, "part").select("p_partkey", media.marked_title(title, "Opus").alias("title"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 - 1 AS flip, l_suppkey % 4 * 90 AS turn FROM lineitem),
+n AS (SELECT *, flip <> 0 AND turn = 180 AS half FROM t),
+m AS (SELECT *, CASE WHEN half THEN 0 ELSE (360 - turn) % 360 END AS back FROM n)
+SELECT l_orderkey, l_linenumber, CASE WHEN flip = 0 THEN NULL WHEN (flip > 0) <> half THEN 'horizontal' ELSE 'vertical' END AS mirror,
+  CAST(CASE WHEN back > 180 THEN back - 360 ELSE back END AS INTEGER) AS roll FROM m""")
+def orientation(spark, sf):
+    turned = media.orientation(F.col("l_partkey") % 3 - 1, F.col("l_suppkey") % 4 * 90).alias("o")
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", turned).select("l_orderkey", "l_linenumber", "o.mirror", "o.roll")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(CASE l_returnflag WHEN 'A' THEN (l_partkey + 1) // 2 WHEN 'N' THEN (l_partkey + 1) // 2 ELSE l_partkey END AS BIGINT) AS w,
+  CAST(CASE l_returnflag WHEN 'A' THEN (l_suppkey + 1) // 2 ELSE l_suppkey END AS BIGINT) AS h, CAST(CASE WHEN l_returnflag IN ('A', 'N') THEN l_linenumber // 2 ELSE l_linenumber END AS BIGINT) AS x FROM lineitem""")
+def chroma_geometry(spark, sf):
+    kind = F.when(F.col("l_returnflag") == "A", "420").when(F.col("l_returnflag") == "N", "422").otherwise("444")
+    g = media.chroma_geometry(kind, F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_linenumber")).alias("g")
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", g).select("l_orderkey", "l_linenumber", "g.w", "g.h", "g.x")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'extract' WHEN 'view' THEN 'extract_srt' ELSE 'mux' END AS route FROM events""")
+def subtitle_route(spark, sf):
+    codec = F.when(F.col("event_type") == "click", "subrip").when(F.col("event_type") == "view", "mov_text").otherwise("eia_608")
+    return _table(spark, sf, "events").select("event_id", media.subtitle_route(codec).alias("route"))
+
+
+@query("""WITH t AS (SELECT doc_id, string_split(trim(coalesce(text, ''), concat(chr(10), ' ', chr(9), chr(13))), chr(10)) AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) > 3 THEN '[' || (len(l) - 3) || ' earlier lines]' || chr(10) || array_to_string(l[-3:], chr(10)) ELSE array_to_string(l, chr(10)) END AS tail FROM t""")
+def tail_lines(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", media.tail_lines(F.coalesce("text", F.lit("")), 3).alias("tail"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 100 > o_orderkey % 70 + 1 THEN CAST(-1000 * (o_orderkey % 7) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS shift_ms FROM orders""")
+def wrapped_shift(spark, sf):
+    o = F.col("o_orderkey")
+    kind = F.when(F.col("o_orderstatus") == "F", "mpegts").otherwise("matroska")
+    return _table(spark, sf, "orders").select("o_orderkey", media.wrapped_shift_ms(kind, o % 100, o % 7, o % 70).alias("shift_ms"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 1500 > 650 AND o_orderkey % 900 <= 650 THEN 6 ELSE 0 END AS n FROM orders""")
+def untagged_flags(spark, sf):
+    o = F.col("o_orderkey")
+    flags = color.untagged_flags(F.array(F.lit("--keyint")), o % 2 == 0, o % 1500, o % 900)
+    return _table(spark, sf, "orders").select("o_orderkey", F.size(flags).alias("n"))

@@ -4,6 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from chunkloom.functions import color, media
 from chunkloom.operators import intervals, matching, metrics, rules, search, state, timeline
 from chunkloom.sources import formats, reports
 from chunkloom.streaming import retries
@@ -57,14 +58,14 @@ def test_percentiles_and_votes(spark):
 
 
 def test_language_rules(spark):
-    tags = [None, "", "und", "ger", "de-AT", "DEU", "fra", "fra,spa", "es"]
+    tags = [None, "", "und", "ger", "deu_AT", "DEU", "fra", "fra,spa", "spa-MX", "de", "und,fra", "und, "]
     df = spark.createDataFrame([(t,) for t in tags], "t string").select("t", rules.language_selected(F.col("t"), ["deu", "spa"]))
-    assert [r[1] for r in df.collect()] == [True, True, True, True, True, True, False, True, True]
+    assert [r[1] for r in df.collect()] == [True, True, True, True, True, True, False, True, True, False, False, True]
 
 
 def test_bitrates(spark):
-    df = spark.createDataFrame([(x,) for x in ("128k", "1.5M", "96000", "5m", "", "0", "1K")], "t string").select(rules.parse_bitrate(F.col("t")))
-    assert [r[0] for r in df.collect()] == [128_000, 1_500_000, 96_000, None, None, None, 1_000]
+    df = spark.createDataFrame([(x,) for x in ("128k", "1.5M", "96000", "5m", "", "0", "1K", " 5. ", "0.5")], "t string").select(rules.parse_bitrate(F.col("t")))
+    assert [r[0] for r in df.collect()] == [128_000, 1_500_000, 96_000, None, None, None, 1_000, 5, 0]
 
 
 def test_twins(spark):
@@ -141,3 +142,38 @@ def test_entry_module(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
     assert entry.entry(spark).count() > 0
+
+
+def test_track_decisions(spark):
+    df = spark.createDataFrame([(" Deutsch (Opus) ",), ("(Opus)",), ("opus",), (None,), ("Main",)], "t string").select(media.marked_title(F.col("t"), "Opus"))
+    assert [r[0] for r in df.collect()] == ["Deutsch (Opus)", "Opus", "Opus", "Opus", "Main (Opus)"]
+    df = spark.createDataFrame([("fltp", 24), ("s16p", 0), ("s32", 20), ("s32", 0), ("u8", 0), ("dbl", 0)], "f string, b int").select(media.pcm_codec(F.col("f"), F.col("b")))
+    assert [r[0] for r in df.collect()] == ["pcm_f32le", "pcm_s16le", "pcm_s24le", "pcm_s32le", "pcm_s16le", "pcm_f64le"]
+    df = spark.createDataFrame([("600k", 600_000, "stereo"), ("500k", 500_000, "stereo"), ("300k", 300_000, "odd")], "t string, b long, l string").select(media.capped_bitrate(F.col("t"), F.col("b"), F.col("l")))
+    assert [r[0] for r in df.collect()] == ["512k", "500k", "256k"]
+    d = spark.createDataFrame([((1, 0, 1, 0, 0, 1),)], "d struct<default:int,forced:int,hearing_impaired:int,visual_impaired:int,original:int,comment:int>")
+    assert d.select(media.disposition_flags(F.col("d"), F.lit(3))).first()[0] == ["--default-track-flag", "3:yes", "--hearing-impaired-flag", "3:yes", "--commentary-flag", "3:yes"]
+    df = spark.createDataFrame([("0-3,5",), ("7",), ("3-1",), ("x",)], "t string").select(media.cpu_count(F.col("t")))
+    assert [r[0] for r in df.collect()] == [5, 1, None, None]
+
+
+def test_picture_decisions(spark):
+    df = spark.createDataFrame([(0, 90), (1, 180), (1, 90), (-1, 180), (-1, -90), (0, -180)], "f int, r int").select(media.orientation(F.col("f"), F.col("r")).alias("o"))
+    assert [tuple(r.o) for r in df.collect()] == [(None, -90), ("vertical", 0), ("horizontal", -90), ("horizontal", 0), ("vertical", 90), (None, 180)]
+    area = "a struct<left:int,right:int,top:int,bottom:int>, s struct<w:int,h:int>, c struct<x:int,y:int,w:int,h:int>, z struct<w:int,h:int>, m string"
+    df = spark.createDataFrame([((10, 20, 140, 0), (1920, 1080), (0, 140, 1920, 800), (960, 400), "horizontal"), ((1, 2, 3, 4), (100, 100), None, None, None)], area)
+    assert [tuple(r.x) for r in df.select(media.active_area(*map(F.col, "asczm")).alias("x")).collect()] == [(10, 5, 0, 0), (1, 2, 3, 4)]
+    df = spark.createDataFrame([("--a", True, 1080, 540), ("--color-primaries", True, 1080, 650), ("--matrix-coefficients", True, 1080, 540), ("--a", True, 650, 540)], "a string, y boolean, s int, o int")
+    got = [r[0] for r in df.select(color.untagged_flags(F.array("a"), F.col("y"), F.col("s"), F.col("o"))).collect()]
+    assert [len(x) for x in got] == [6, 4, 0, 0] and got[1] == ["--transfer-characteristics", "1", "--matrix-coefficients", "1"]
+    df = spark.createDataFrame([("a\nb\nc\n",), ("a",)], "t string").select(media.tail_lines(F.col("t"), 2))
+    assert [r[0] for r in df.collect()] == ["[1 earlier lines]\nb\nc", "a"]
+
+
+def test_tool_lists(spark):
+    def lines(*x):
+        return spark.createDataFrame([(1, t) for t in x], "k int, line string")
+
+    assert rows(media.audio_codecs(lines(" D.A..S flac  x", " ..A.L. odd y", " DEV.L. h264", "junk"), ["k"])) == [(1, "flac", True, True), (1, "odd", False, False)]
+    assert rows(media.audio_encoders(lines(" A..... = Audio", " A....D flac (x)", " V..... x264 y"), ["k"])) == [(1, "flac")]
+    assert rows(media.devices(lines("GPU 0: Big Card", " GPU 1: llvmpipe (x)", "GPU x: y", "other"), ["k"])) == [(1, 0, "Big Card", True), (1, 1, "llvmpipe (x)", False)]
