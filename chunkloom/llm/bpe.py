@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
+from .tokenizing import SETTLED, stand_ins
 
 NONE = np.int32(2**31 - 1)
 KEEP = 300_000
@@ -184,10 +185,28 @@ class TextEncoder:
     """Texts to ids; pre-tokens seen before are looked up, up to KEEP of them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.encoder, self.split, self.known = Encoder(ranks), regex.compile(pattern).findall, {}
+        self.encoder, self.split, self.known, self.stand_ins = Encoder(ranks), regex.compile(pattern).findall, {}, None
+
+    def pieces(self, text: str | None) -> list[str]:
+        """The text's pre-tokens; where it has code points that libraries may class differently, those of the text with stand-ins say where to cut."""
+        if not text:
+            return []
+        if SETTLED.fullmatch(text):
+            return self.split(text)
+        if self.stand_ins is None:
+            self.stand_ins = stand_ins()
+        alike = text.translate(self.stand_ins)
+        if alike == text:
+            return self.split(text)
+        out, at = [], 0
+        for piece in self.split(alike):
+            at = alike.index(piece, at)
+            out.append(text[at : at + len(piece)])
+            at += len(piece)
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [self.split(t) if t else [] for t in texts]
+        pieces = [self.pieces(t) for t in texts]
         if len(self.known) > KEEP:
             self.known.clear()
         new = list(set().union(*pieces) - self.known.keys())

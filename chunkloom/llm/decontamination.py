@@ -199,3 +199,19 @@ def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = T
 
 def query(spark, sf_dir: str) -> DataFrame:
     return contained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM documents),
+items AS (
+  SELECT item_id, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM benchmark),
+item_places AS (SELECT item_id, words, least(5, len(words)) AS n, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS k FROM items WHERE len(words) > 0),
+item_shingles AS (SELECT DISTINCT item_id, n, array_to_string(words[k:k + n - 1], ' ') AS shingle FROM item_places),
+sizes AS (SELECT item_id, count(*) AS item_shingles FROM item_shingles GROUP BY item_id),
+doc_places AS (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM item_shingles) WHERE len(words) >= n),
+doc_shingles AS (SELECT DISTINCT doc_id, n, array_to_string(words[k:k + n - 1], ' ') AS shingle FROM doc_places),
+shared AS (SELECT doc_id, item_id, count(*) AS shared FROM doc_shingles JOIN item_shingles USING (n, shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(shared AS BIGINT) AS shared, CAST(item_shingles AS BIGINT) AS item_shingles, shared / item_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE shared * 5 >= item_shingles * 4
+"""

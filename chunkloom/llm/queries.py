@@ -17,4 +17,4 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
 }
 
-SQL = {"op5_line_dedup": line_dedup.SQL, "op9_chat_format": chat_format.SQL}
+SQL = {"op3_decontamination": decontamination.SQL, "op5_line_dedup": line_dedup.SQL, "op9_chat_format": chat_format.SQL}

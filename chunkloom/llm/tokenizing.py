@@ -15,3 +15,17 @@ def tokenizer(blob: bytes):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_str(blob.decode("utf-8"))
+
+
+def stand_ins() -> dict[int, str]:
+    """Code points that `regex` and the byte-level BPE library class differently (their Unicode versions differ), each with a character of the class that the library gives it."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([i]): i for i in range(256)}
+    ours, theirs = {}, {}
+    for kind, one in ((r"\p{L}", "\u00e6"), (r"\p{N}", "0"), (r"\s", "\u2003")):
+        found = bytes(tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode("utf-8")
+        theirs |= dict.fromkeys(found, one)
+        ours |= dict.fromkeys(regex.findall(kind, every), one)
+    return {ord(c): theirs.get(c, "\u2021") for c in ours.keys() | theirs.keys() if ours.get(c) != theirs.get(c)}

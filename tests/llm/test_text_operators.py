@@ -139,3 +139,14 @@ def test_chat_format(spark):
     back = out.select(chat_format.parse_turns(F.col("formatted")).alias("t"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("m")).first()
     assert [(x.role, x.text) for x in back.t] == [(r, t) for t in odd for r in ("user", "assistant", "we<ird>")]
     assert back.m == "".join(odd)
+
+
+def test_bpe_recent_code_points():
+    import public_tokenizers
+    import tiktoken
+    from chunkloom.llm import bpe
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a\U000107bbb \U0001093f\U00010940x it's", "1\U00011de05 \U00011de1", "กำ \U0001f600\U000107bc!?", " \U00016d40'll", "", None]
+    assert [x for x in bpe.TextEncoder(ranks, public_tokenizers.PATTERN)(texts)] == [b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(t or "")) for t in texts]
