@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -141,6 +142,31 @@ def test_lm_scoring(spark, docs, none):
     assert lm_scoring.cross_entropy_difference(none, none).count() == 0
 
 
+def test_lm_scoring_counts_every_ngram(spark):
+    rng = random.Random(11)
+    rows = [(i if i % 50 else None, " ".join(f"W{int(rng.paretovariate(0.4)) % 5_000}" for _ in range(rng.randrange(60)))) for i in range(400)]
+    wanted = {i for i in range(1, 400, 3) if i % 50}
+    words, heads, pairs = ([Counter(), Counter()] for _ in range(3))
+    for i, text in rows:
+        ids = text.lower().split()
+        for m in (0, 1) if i in wanted else (1,):
+            words[m].update(ids), heads[m].update(["", *ids][:-1] if ids else []), pairs[m].update(zip(["", *ids], ids))
+    n = [sum(w.values()) for w in words]
+    scale, want = (1.0, n[0] / n[1]), Counter()
+    for i, text in rows:
+        ids, loss = text.lower().split(), [0.0, 0.0]
+        for a, b in zip(["", *ids], ids):
+            for m in (0, 1):
+                likely = (words[m][b] * scale[m] + 1) / (n[m] * scale[m] + len(words[1]))
+                loss[m] -= np.log((pairs[m][a, b] * scale[m] + 5 * likely) / (heads[m][a] * scale[m] + 5)) / len(ids)
+        want[(i, len(ids), *(round(float(x), 7) for x in loss))] += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in wanted] * 2 + [(None,)], "doc_id int")
+    for how in ({}, {"group": 2_000, "least": 2_000}):
+        got = lm_scoring.cross_entropy_difference(d, target, **how).collect()
+        assert Counter((r.doc_id, r.n_tokens, round(r.target_loss, 7), round(r.background_loss, 7)) for r in got) == want
+
+
 def test_pipeline_stages_brute_force(spark, tmp_path):
     import corpus_pipeline
 
