@@ -230,11 +230,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return star.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 7, cell_limit: int = 65_536) -> DataFrame:
-    """doc_id, fp, component_id of each row: the smallest doc_id that links within the radius reach."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 7, cell_limit: int = 65_536, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, fp, component_id of each row: the smallest doc_id that links within the radius, or more links between fingerprints (a, b), reach."""
     fps = common.written(fingerprints(docs, shingle), "fps")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(common.written(links(classes, radius, blocks, cell_limit), "links"))
+    linked = links(classes, radius, blocks, cell_limit)
+    found = components(common.written(linked if more is None else linked.unionByName(more), "links"))
     joined = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     per_class = joined.join(ids, "root").select("fp", "component_id")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import bpe, common, decontamination, line_dedup, simhash_dedup, toxicity
+from chunkloom.llm import bpe, common, decontamination, jaccard_links, line_dedup, simhash_dedup, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,8 +22,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
-    return simhash_dedup.one_per_group(docs.select(*COLUMNS))
+    """Of each group of near copies (by fingerprint, or 4/5 of five-word shingles) the document of the smallest id stays."""
+    return simhash_dedup.one_per_group(docs.select(*COLUMNS), more=jaccard_links.links(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

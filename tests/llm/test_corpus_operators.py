@@ -167,6 +167,32 @@ def test_lm_scoring_counts_every_ngram(spark):
         assert Counter((r.doc_id, r.n_tokens, round(r.target_loss, 7), round(r.background_loss, 7)) for r in got) == want
 
 
+def test_pipeline_drops_jaccard_copies(spark, none, tmp_path):
+    import corpus_pipeline
+    from chunkloom.llm import jaccard_links
+
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(999)}" for _ in range(n)) for n in (40, 60, 90, 300) for _ in range(10)]
+    for i in range(0, 40, 4):  # copies of growing difference, and copies of copies
+        for _ in range(6):
+            w = rng.choice([texts[i], texts[-1]]).split()
+            for _ in range(1 + len(w) // rng.choice((30, 45, 60))):
+                w[rng.randrange(len(w))] = "x" + str(rng.randrange(999))
+            texts.append(" ".join(w))
+    own = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    fp, parent = simhash_dedup.fingerprint_texts(texts), np.arange(len(texts))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]) or int(fp[i] ^ fp[j]).bit_count() <= 4]
+    assert any(int(fp[i] ^ fp[j]).bit_count() > 4 for i, j in near)
+    parent = simhash_dedup._join(parent, *np.array(near).T)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = set(np.flatnonzero(parent == np.arange(len(texts))).tolist())
+    assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()} == want
+    kept = simhash_dedup.one_per_group(docs, more=jaccard_links.links(docs, large=2))
+    assert {r.doc_id for r in kept.collect()} == want
+    assert jaccard_links.links(none).count() == 0
+
+
 def test_pipeline_stages_brute_force(spark, tmp_path):
     import corpus_pipeline
 
