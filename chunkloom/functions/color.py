@@ -13,6 +13,7 @@ TRANSFER = {
 }
 MATRIX = {"gbr": 0, "bt709": 1, "fcc": 4, "bt470bg": 5, "smpte170m": 6, "smpte240m": 7, "ycgco": 8, "bt2020nc": 9, "bt2020c": 10, "smpte2085": 11, "chroma-derived-nc": 12, "chroma-derived-c": 13, "ictcp": 14}
 RANGE = {"tv": 0, "pc": 1}
+CHROMA = {"left": 1, "topleft": 2}
 
 
 def code(name: Column, codes: dict[str, int]) -> Column:
@@ -35,8 +36,8 @@ def missing_static(transfer: Column, mastering: Column, light: Column) -> Column
 
 
 def same_picture(a: Column, b: Column) -> Column:
-    """Structs of transfer, primaries, matrix, range: alike; of RGB only the first two count."""
-    return a["transfer"].eqNullSafe(b["transfer"]) & a["primaries"].eqNullSafe(b["primaries"]) & ((a["matrix"] == "gbr") | (a["matrix"].eqNullSafe(b["matrix"]) & a["range"].eqNullSafe(b["range"])))
+    """Structs of family, transfer, primaries, matrix, range: alike; where a is RGB by family only transfer and primaries count."""
+    return a["transfer"].eqNullSafe(b["transfer"]) & a["primaries"].eqNullSafe(b["primaries"]) & (F.coalesce(F.upper(a["family"]) == "RGB", F.lit(False)) | (a["matrix"].eqNullSafe(b["matrix"]) & a["range"].eqNullSafe(b["range"])))
 
 
 def untagged_flags(args: Column, is_yuv: Column, source_height: Column, output_height: Column) -> Column:
@@ -55,10 +56,9 @@ def normalized_crop(w: Column, h: Column, x: Column, y: Column, src_w: Column, s
 
 
 def display_size(w: Column, h: Column, num: Column, den: Column) -> Column:
-    """Width and height as shown: the side that grows is scaled, rounded half up."""
-    wide = F.when(num >= den, (w * num + (den / 2).cast("long")) / den).otherwise(w).cast("long")
-    tall = F.when(num < den, (h * den + (num / 2).cast("long")) / num).otherwise(h).cast("long")
-    return F.struct(wide.alias("w"), tall.alias("h"))
+    """Width and height as shown: the width is scaled by the sample aspect ratio, rounded half up; ratios that aren't positive change nothing."""
+    wide = F.when((num > 0) & (den > 0), F.call_function("floor", (2 * w.cast("long") * num + den) / (2 * den)).cast("long")).otherwise(w.cast("long"))
+    return F.struct(wide.alias("w"), h.cast("long").alias("h"))
 
 
 def key_interval(fps: Column, seconds: int = 5) -> Column:

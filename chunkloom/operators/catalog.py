@@ -12,10 +12,12 @@ EXTENSIONS = ("mkv", "mp4", "mov", "avi", "ts", "m2ts", "flv", "webm", "m4v")
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, rel_dir, stem, ext, size, mtime of all files below root, names from Spark's file reader; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    rel = F.regexp_replace("path", rf"^[a-z]*:?/*{root.strip('/')}/?", "")
+    top = F.lit("/" + root.split(":", 1)[-1].strip("/") + "/")
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    rel = F.when(F.startswith(plain, top), F.substring(plain, F.length(top) + 1, F.length(plain))).otherwise(plain)
     name = F.substring_index("path", "/", -1)
     return files.select(
-        "path", F.regexp_replace(rel, r"/?[^/]*$", "").alias("rel_dir"), stem(name).alias("stem"), extension(name).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
+        "path", F.regexp_replace(rel, "/?[^/]*$", "").alias("rel_dir"), stem(name).alias("stem"), extension(name).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
     ).orderBy("rel_dir", "stem", "ext")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Channels that may stand in for each other.
-SUBSTITUTES = (("SL", "BL"), ("SR", "BR"), ("BL", "SL"), ("BR", "SR"))
+#: Channels and what may stand in for each.
+SUBSTITUTES = {"SL": "BL", "SR": "BR", "BL": "SL", "BR": "SR", "DL": "FL", "BIL": "FL", "DR": "FR", "BIR": "FR"}
+#: The layouts that the speech and music encoder takes, by number of channels.
+ENCODER_LAYOUTS = (
+    ("mono", "FC"), ("stereo", "FL+FR"), ("3.0", "FL+FR+FC"), ("quad", "FL+FR+BL+BR"), ("5.0", "FL+FR+FC+BL+BR"), ("5.1", "FL+FR+FC+LFE+BL+BR"), ("6.1", "FL+FR+FC+LFE+BC+SL+SR"),
+    ("7.1", "FL+FR+FC+LFE+BL+BR+SL+SR"),
+)
 
 
 def twins(streams: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,26 +35,29 @@ def exactly_one(matched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def by_ordinal(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer match by ordinal with a flag: both sides of every group must have as many rows."""
-    out = left.join(right, [*keys, "ordinal"], "full_outer")
-    return out
+    """Full outer match by ordinal with even: whether both sides of the group have as many rows."""
+    n, m = left.groupBy(*keys).agg(F.count("*").alias("__n")), right.groupBy(*keys).agg(F.count("*").alias("__m"))
+    even = n.join(m, keys, "full_outer").select(*keys, F.col("__n").eqNullSafe(F.col("__m")).alias("even"))
+    return left.join(right, [*keys, "ordinal"], "full_outer").join(even, keys)
 
 
-def smallest_layout(sources: DataFrame, layouts: DataFrame) -> DataFrame:
-    """id, layout: for each source (id, channels array) the first layout by rank (layout, rank, members array) that places all channels, where a free substitute may stand in; null if none does.
+def smallest_layout(channels: Column, count: Column | None = None) -> Column:
+    """The encoder's first layout that places all channels (an array of names), where a channel's substitute counts if the source lacks it; else the layout of as many channels as there are, or count says."""
+    swap = F.create_map(*[F.lit(x) for pair in SUBSTITUTES.items() for x in pair])
 
-    layouts is a fixed list of a few rows, read as one array, so there is no join.
-    """
-    known = [(r["layout"], r["members"]) for r in layouts.orderBy("rank").select("layout", "members").collect()]
-    swap = F.create_map(*[F.lit(x) for pair in SUBSTITUTES for x in pair])
-    fits = F.coalesce(*[
-        F.when(
-            F.forall("channels", lambda c, m=members: F.array_contains(F.array(*map(F.lit, m)), c) | F.coalesce(F.array_contains(F.array(*map(F.lit, m)), F.try_element_at(swap, c)) & ~F.array_contains(F.col("channels"), F.try_element_at(swap, c)), F.lit(False))),
-            F.lit(name),
-        )
-        for name, members in known
-    ])
-    return sources.select("id", fits.alias("layout"))
+    def places(members: str) -> Column:
+        own = F.array(*map(F.lit, members.split("+")))
+
+        def placed(c: Column) -> Column:
+            other = F.try_element_at(swap, c)
+            return F.array_contains(own, c) | F.coalesce(F.array_contains(own, other) & ~F.array_contains(channels, other), F.lit(False))
+
+        return F.forall(channels, placed)
+
+    names = F.array(*[F.lit(name) for name, _ in ENCODER_LAYOUTS])
+    many = F.coalesce(F.when(channels.isNotNull(), F.size(channels)), F.lit(None).cast("int") if count is None else count, F.lit(2))
+    many = F.least(F.greatest(many, F.lit(1)), F.lit(len(ENCODER_LAYOUTS)))
+    return F.coalesce(*[F.when(places(members), name) for name, members in ENCODER_LAYOUTS], F.element_at(names, many.cast("int")))
 
 
 def folded(sources: DataFrame, folds: DataFrame) -> DataFrame:

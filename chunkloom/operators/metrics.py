@@ -13,15 +13,15 @@ def bounding_box(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def plausible_bars(w: Column, h: Column, x: Column, y: Column, src_w: Column, src_h: Column) -> Column:
-    """Struct of use and cacheable for a united crop: 99 % of the picture or more is no crop; under 40 %, or off centre by more than the slack, isn't believed."""
+    """Struct of use and cacheable for a united crop: under 40 % of the picture, or off centre by more than the slack, it isn't believed; 99 % or more, or no box at all, is surely no crop."""
 
     def centred(begin: Column, size: Column, total: Column) -> Column:
-        return F.abs(begin - (total - size - begin)) <= F.greatest(total / 20, F.lit(8))
+        rest = F.greatest(total - begin - size, F.lit(0))
+        return F.abs(begin - rest) <= F.greatest(F.call_function("floor", total / 20), F.lit(8))
 
-    area, whole = w * h, src_w * src_h
-    use = F.when(area * 100 >= whole * 99, False).when(area * 100 < whole * 40, False).when(centred(x, w, src_w) & centred(y, h, src_h), True).otherwise(False)
-    sure = (area * 100 >= whole * 99) | ((area * 100 >= whole * 40) & centred(x, w, src_w) & centred(y, h, src_h))
-    return F.struct(use.alias("use"), F.coalesce(sure, F.lit(False)).alias("cacheable"))
+    share, there = w * h * 100 / (src_w * src_h), w.isNotNull() & h.isNotNull()
+    believed = (share >= 40) & centred(x, w, src_w) & centred(y, h, src_h)
+    return F.struct(F.coalesce(there & believed & (share < 99), F.lit(False)).alias("use"), F.coalesce(~there | believed, F.lit(False)).alias("cacheable"))
 
 
 def sample_outcome(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,9 +64,9 @@ def widest_layout(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def worker_split(cores: Column, ram_gib: Column, megapixels: Column, threads: Column) -> Column:
-    """Workers that fit: one at least, as many as the threads allow, 1.5 GiB a megapixel each."""
-    by_ram = F.floor(ram_gib / (megapixels * F.lit(1.5e0))).cast("long")
-    return F.greatest(F.lit(1).cast("long"), F.least(F.expr("0L") + F.floor(cores / threads).cast("long"), by_ram))
+    """Workers that fit: one at least, as many as the threads allow, 1.5 GiB a megapixel each; a picture without pixels needs no memory."""
+    by_ram = F.floor(F.try_divide(ram_gib, F.nullif(megapixels, F.lit(0e0)) * F.lit(1.5e0))).cast("long")
+    return F.greatest(F.lit(1).cast("long"), F.least(F.floor(cores / threads).cast("long"), by_ram))
 
 
 def throughput(frames: Column, seconds: Column) -> Column:
@@ -74,9 +74,13 @@ def throughput(frames: Column, seconds: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    gib, mib = F.lit(float(1 << 30)), F.lit(float(1 << 20))
-    return F.when(n >= gib, F.format_string("%.2f GiB", n / gib)).otherwise(F.format_string("%.1f MiB", n / mib))
+    """Bytes as text: binary megabytes with one decimal, from 1024 of them on gigabytes with two."""
+    mb = n / F.lit(float(1 << 20))
+    return F.when(mb < 1024, F.format_string("%.1f MB", mb)).otherwise(F.format_string("%.2f GB", mb / 1024))
 
 
 def format_duration(seconds: Column) -> Column:
-    return F.format_string("%d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
+    """Seconds as 7s, 3m07s or 1h02m."""
+    s = seconds.cast("long")
+    hours, minutes = F.expr("0L") + F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60
+    return F.when(hours > 0, F.format_string("%dh%02dm", hours, minutes)).when(minutes > 0, F.format_string("%dm%02ds", minutes, s % 60)).otherwise(F.format_string("%ds", s))

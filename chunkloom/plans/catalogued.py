@@ -148,13 +148,14 @@ def retry_backoff(spark, sf):
 @query("""WITH p AS (
   SELECT l_partkey, l_quantity AS crf, CAST(10 AS DOUBLE) - CAST(10 AS DOUBLE) * l_discount AS jod, l_extendedprice / CAST(1000 AS DOUBLE) AS size, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
 t AS (SELECT *, CASE WHEN jod >= 9.5 AND size <= 30 THEN 0 WHEN size <= 30 THEN 1 ELSE 2 END AS tier FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY tier, CASE tier WHEN 0 THEN -crf WHEN 1 THEN -jod ELSE size END, CASE tier WHEN 2 THEN seq ELSE -seq END) AS k FROM t)
-SELECT l_partkey, crf, jod, size, CASE tier WHEN 0 THEN 'met' WHEN 1 THEN 'capped' ELSE 'oversize' END AS outcome FROM r WHERE k = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY tier, CASE tier WHEN 0 THEN -crf WHEN 1 THEN -jod ELSE size END, CASE tier WHEN 2 THEN seq ELSE -seq END) AS k,
+  NOT bool_or(size > 30) OVER (PARTITION BY l_partkey) OR (NOT bool_or(jod >= 9.5) OVER (PARTITION BY l_partkey) AND min(crf) OVER (PARTITION BY l_partkey) <= 1) AS hopeless FROM t)
+SELECT l_partkey, crf, jod, size, jod >= 9.5 AS floor_held, CASE WHEN tier = 0 THEN 'met' WHEN tier = 2 THEN 'oversize' WHEN hopeless THEN 'unreachable' ELSE 'capped' END AS outcome FROM r WHERE k = 1""")
 def constrained_argmax(spark, sf):
     p = _table(spark, sf, "lineitem").select(
         "l_partkey", F.col("l_quantity").alias("crf"), (F.lit(1e1) - F.lit(1e1) * F.col("l_discount")).alias("jod"), (F.col("l_extendedprice") / F.lit(1e3)).alias("size"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )
-    return search.best_probe(p, ["l_partkey"], search.holds(F.col("jod"), 9.5), 30.0)
+    return search.best_probe(p, ["l_partkey"], search.holds(F.col("jod"), 9.5), 30.0, low=1.0)
 
 
 @query("""WITH b AS (SELECT l_suppkey, l_orderkey % 89 AS x, l_partkey % 97 AS y, l_linenumber + 1 AS w, l_partkey % 13 + 1 AS h FROM lineitem)

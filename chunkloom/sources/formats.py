@@ -67,15 +67,15 @@ def to_leb128(value: int) -> bytes:
 
 
 def obus(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """Type, header and payload of each unit of a temporal unit."""
+    """Type, header and payload of each unit of a temporal unit; units must carry their size, as they do in files."""
     at = 0
     while at < len(data):
         head, begin = data[at], at
+        if not head & 2:
+            raise Truncated("unit without a size")
         at += 2 if head & 4 else 1
         header = data[begin:at]
-        size = len(data) - at
-        if head & 2:
-            size, at = leb128(data, at)
+        size, at = leb128(data, at)
         if at + size > len(data):
             raise Truncated("unit cut off")
         yield head >> 3 & 15, header, data[at : at + size]

@@ -14,15 +14,15 @@ OUT = "source string, failures int, wait_s long"
 
 
 def step(failures: int, profile: str | None, outcome: str, profile_now: str | None, poll: int) -> tuple[int, int]:
-    """Failures in a row and seconds to wait after one more attempt; a changed profile counts anew, a success clears."""
+    """Failures in a row and seconds to wait after one more attempt: 1, 2, 4 polls and so on, 60 at most; a changed profile counts anew, a success clears."""
     if outcome == "ok":
         return 0, 0
-    failures = 1 if profile_now != profile else failures + 1
-    return failures, int(poll * min(2 ** min(failures, 6), 60))
+    before = failures if profile_now == profile else 0
+    return before + 1, int(poll * min(2 ** min(before, 6), 60))
 
 
 def retry_state(attempts: DataFrame, poll: int = 30) -> DataFrame:
-    """source, failures, wait_s after each micro-batch. attempts: source, ts, outcome ('ok' or 'failed'), profile. Works on streams and, as one batch, on tables."""
+    """source, failures, wait_s after each micro-batch. attempts: source, ts, outcome ('ok' or 'failed'), profile. A streaming table; finished batches are folded by state.backoff and timeline.islands."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, profile = state.get if state.exists else (0, None)
