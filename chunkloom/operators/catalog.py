@@ -31,8 +31,7 @@ def extension(name: Column) -> Column:
 
 def videos(files: DataFrame) -> DataFrame:
     """Files of an accepted extension that aren't empty, hidden, linked or too long in name."""
-    visible = ~F.exists(F.split(F.concat_ws("/", "rel_dir", "stem"), "/"), lambda p: F.startswith(p, F.lit(".")))
-    return files.where(F.lower("ext").isin(*EXTENSIONS) & (F.col("size") > 0) & visible & (F.octet_length("stem") + 4 <= 255))
+    return files.where(is_video())
 
 
 def unique_names(jobs: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,3 +56,29 @@ def open_jobs(jobs: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame
 def without_failures(jobs: DataFrame, failures: DataFrame, on: Column) -> DataFrame:
     """Jobs that no failure marker blocks; on compares jobs' and failures' columns. It runs after unique_names: a blocked job still collides."""
     return jobs.join(failures, on, "left_anti")
+
+
+def profile_folders(files: DataFrame, marker: str, done: str = "processed") -> DataFrame:
+    """profile, usable, reason, holds_video of each folder right below the root, in order: those with the marker file are profiles; the folder of finished sources is left out. files: rel_dir, stem, ext, size."""
+    top = files.withColumn("profile", F.substring_index("rel_dir", "/", 1)).where((F.col("profile") != "") & (F.col("profile") != done))
+    here = (F.col("rel_dir") == F.col("profile")) & (F.concat_ws(".", "stem", "ext") == marker)
+    found = top.groupBy("profile").agg(F.bool_or(here).alias("usable"), F.bool_or(is_video()).alias("holds_video"))
+    return found.select("profile", "usable", F.when(~F.col("usable") & F.col("holds_video"), "videos without settings").alias("reason"), "holds_video").orderBy("profile")
+
+
+def is_video() -> Column:
+    """Of a listing's rows, those that videos() takes."""
+    visible = ~F.exists(F.split(F.concat_ws("/", "rel_dir", "stem"), "/"), lambda p: F.startswith(p, F.lit(".")))
+    return F.lower("ext").isin(*EXTENSIONS) & (F.col("size") > 0) & visible & (F.octet_length("stem") + 4 <= 255)
+
+
+def jobs_of(files: DataFrame, outputs: DataFrame, failures: DataFrame, blocks: Column) -> DataFrame:
+    """The work there is: videos without an output, names that collide dropped, and only then those that a failure marker blocks. outputs: rel_dir, stem, size, delivered; blocks compares jobs' and failures' columns."""
+    return without_failures(unique_names(open_jobs(videos(files), outputs, ["rel_dir", "stem"]), ["rel_dir", "stem"]), failures, blocks)
+
+
+def inside_itself(output: str, source: str) -> bool:
+    """Whether the output folder lies in the source folder once links and `..` are resolved."""
+    from pathlib import Path
+
+    return Path(output).resolve().is_relative_to(Path(source).resolve())

@@ -92,3 +92,12 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], hit: Column, lea
     marked = rows.select(*keys, *[c for c in order if c not in keys], F.row_number().over(w).alias("__r"), F.coalesce(hit, F.lit(False)).alias("__h"))
     inner = marked.where("__h").withColumn("__g", F.col("__r") - F.row_number().over(w))
     return inner.groupBy(*keys, "__g").agg((F.min("__r") - 1).cast("long").alias("first_frame"), F.count("*").alias("n")).where(F.col("n") >= least).drop("__g")
+
+
+def write_timecodes(frames: DataFrame, keys: list[str], t: str, order: list[str], path: str, offset_ms: int = 0) -> None:
+    """A timecode file of each stream as text in a folder of its own: a head line, then a time a frame, in order. A stream's lines are in one file, as the muxer reads them."""
+    head = frames.select(*keys).distinct().withColumn("__k", F.lit(0).cast("long")).withColumn("value", F.lit("# timestamp format v2"))
+    lines = timecodes(frames, keys, t, offset_ms).withColumn("__k", F.row_number().over(_order(keys, order)).cast("long")).select(*keys, "__k", F.col("line").alias("value"))
+    folders = [F.col(k).alias(f"by_{k}") for k in keys]
+    rows = head.unionByName(lines).select(*folders, "__k", "value").repartition(*[f"by_{k}" for k in keys]).sortWithinPartitions(*[f"by_{k}" for k in keys], "__k")
+    rows.drop("__k").write.partitionBy(*[f"by_{k}" for k in keys]).text(path)

@@ -163,6 +163,98 @@ def sei_t35(nal: bytes) -> Iterator[bytes]:
         at += size
 
 
+def insert_metadata(data: bytes, messages: list[list[bytes]]) -> bytes:
+    """An IVF file with the n-th messages (T.35 payloads) before its n-th shown frame; there must be as many shown frames as messages."""
+    out, shown, still = [data[: int.from_bytes(data[6:8], "little")]], 0, False
+    for pts, unit in ivf_frames(data):
+        parts = []
+        for kind, header, payload in obus(unit):
+            if kind == 1:
+                still = bool(payload[:1] and payload[0] & 8)
+            if shown_frame(kind, payload, still):
+                if shown == len(messages):
+                    raise ValueError(f"more frames are shown than the {len(messages)} that have metadata")
+                parts += [t35_obu(m) for m in messages[shown]]
+                shown += 1
+            parts.append(header + to_leb128(len(payload)) + payload)
+        body = b"".join(parts)
+        out.append(struct.pack("<IQ", len(body), pts) + body)
+    if shown != len(messages):
+        raise ValueError(f"{shown} frames are shown, but {len(messages)} have metadata")
+    return b"".join(out)
+
+
+def trimmed_config(record: bytes) -> bytes | None:
+    """A codec configuration record with only the sequence header and static light metadata left; None if there is nothing to take out or it can't be read."""
+    try:
+        units = list(obus(record[4:])) if len(record) >= 4 else None
+    except (Truncated, IndexError):
+        return None
+    if units is None:
+        return None
+    stays = [kind == 1 or (kind == 5 and payload[:1] in (b"\x01", b"\x02")) for kind, _, payload in units]
+    if all(stays):
+        return None
+    return record[:4] + b"".join(header + to_leb128(len(payload)) + payload for keep, (_, header, payload) in zip(stays, units, strict=True) if keep)
+
+
+def shrunk_element(data: bytes, begin: int, payload: bytes) -> bytes | None:
+    """The element at begin with a shorter payload, filled up with a Void to the size it had, so nothing after it moves; None where that can't be done."""
+    _, size_at = vint(data, begin, True)
+    size, at = vint(data, size_at, False)
+    width, end = at - size_at, at + size
+    if len(payload) > size:
+        return None
+    room = size - len(payload)
+    if room == 1:  # a Void takes two bytes at least
+        return None
+    head = data[begin:size_at] + ((1 << 7 * width) | len(payload)).to_bytes(width, "big") + payload
+    if not room:
+        return head
+    for n in range(1, 9):
+        rest = room - 1 - n
+        if 0 <= rest < (1 << 7 * n) - 1:
+            return head + b"\xec" + ((1 << 7 * n) | rest).to_bytes(n, "big") + bytes(rest)
+    return None if end > len(data) else head
+
+
+def pictures_with_messages(units: Iterator[bytes], message=lambda nal: next(sei_t35(nal), None)) -> list[bytes | None]:
+    """Each picture's message in an H.265 stream's units: a prefix unit's goes to the next picture, a suffix unit's replaces the last one's; other layers are left out."""
+    out: list[bytes | None] = []
+    waiting = None
+    for nal in units:
+        if len(nal) < 2 or nal[0] & 1 or nal[1] >> 3:
+            continue
+        kind = nal[0] >> 1 & 63
+        if kind <= 31 and len(nal) > 2 and nal[2] & 0x80:
+            out.append(waiting)
+            waiting = None
+        elif kind == 39:
+            waiting = message(nal) or waiting
+        elif kind == 40 and out:
+            out[-1] = message(nal) or out[-1]
+    return out
+
+
+def nal_units_of_blocks(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """As nal_units, of a stream that comes in blocks: only what follows the last start code is held over."""
+    held = b""
+    for block in blocks:
+        held += block
+        last = held.rfind(b"\x00\x00\x01")
+        if last > 0:
+            yield from nal_units(held[:last])
+            held = held[last:]
+    yield from nal_units(held)
+
+
+@udtf(returnType="ordinal: bigint, message: binary")
+class PictureMessages:
+    def eval(self, content: bytes):
+        if content is not None:
+            yield from enumerate(pictures_with_messages(nal_units(bytes(content))))
+
+
 @udtf(returnType="frame: int, pts: bigint, payload: binary")
 class IvfFrames:
     def eval(self, content: bytes):
@@ -215,3 +307,8 @@ def read_elements(files: DataFrame, content: str = "content") -> DataFrame:
 
 def read_obus(files: DataFrame, content: str = "payload") -> DataFrame:
     return _each(files, Obus, content, content)
+
+
+def read_picture_messages(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with ordinal and message of each picture of an H.265 stream."""
+    return _each(files, PictureMessages, content, content)

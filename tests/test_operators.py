@@ -265,3 +265,85 @@ def test_every_query_has_sql():
     from chunkloom.plans import catalogued
 
     assert set(catalogued.QUERIES) - set(catalogued.SQL) == {"curve_search"} and set(catalogued.QUERIES) <= set(entry.queries())
+
+
+def ivf(units):
+    return formats.ivf_file(units)
+
+
+def unit(kind, payload):
+    return bytes([kind << 3 | 2]) + formats.to_leb128(len(payload)) + payload
+
+
+def test_metadata_before_shown_frames():
+    hidden, shown, again = unit(6, b"\x00x"), unit(6, b"\x10y"), unit(3, b"\x80")
+    data = ivf([unit(1, b"\x00s") + hidden + shown, again])
+    out = formats.insert_metadata(data, [[b"\xb5one"], [b"\xb5two", b"\xb5three"]])
+    frames = [payload for _, payload in formats.ivf_frames(out)]
+    assert frames[0] == unit(1, b"\x00s") + hidden + formats.t35_obu(b"\xb5one") + shown
+    assert frames[1] == formats.t35_obu(b"\xb5two") + formats.t35_obu(b"\xb5three") + again
+    for messages in ([[]], [[], [], []]):
+        with pytest.raises(ValueError):
+            formats.insert_metadata(data, messages)
+
+
+def test_configuration_records_and_elements():
+    head, light, dynamic = unit(1, b"seq"), unit(5, b"\x01ab"), unit(5, b"\x04\xb5x")
+    assert formats.trimmed_config(b"\x81\x00\x00\x00" + head + dynamic + light) == b"\x81\x00\x00\x00" + head + light
+    assert formats.trimmed_config(b"\x81\x00\x00\x00" + head + light) is None and formats.trimmed_config(b"\x81") is None and formats.trimmed_config(b"\x81\x00\x00\x00\x0a\x7f") is None
+    rng = random.Random(1)
+    for size in (5, 126, 127, 128, 300, 20_000):
+        payload = rng.randbytes(size)
+        data = b"\x63\xa2" + ((1 << 28) | size).to_bytes(4, "big") + payload + b"\xec\x81z"
+        for n in {0, 1, size // 2, size - 2, size - 1, size}:
+            out = formats.shrunk_element(data, 0, payload[:n])
+            if n == size - 1:
+                assert out is None
+                continue
+            assert len(out) == 6 + size
+            found = list(formats.elements(out + b"\xec\x81z"))
+            assert out[found[0][1] : found[0][2]] == payload[:n] and all(i == 0xEC for i, _, _ in found[1:]) and len(found) == (3 if n < size else 2)
+
+
+def test_pictures_with_messages(spark):
+    sei = lambda kind, m: bytes([kind << 1, 1]) + b"\x04" + bytes([len(m)]) + m + b"\x80"
+    picture = lambda layer=0, first=0x80: bytes([2, layer << 3 | 1, first])
+    units = [sei(39, b"\xb5a"), picture(), picture(first=0x01), picture(), sei(40, b"\xb5b"), sei(39, b"\xb5c"), picture(layer=1), picture(), sei(40, b"\xb5d"), picture()]
+    want = [b"\xb5a", b"\xb5b", b"\xb5d", None]
+    assert formats.pictures_with_messages(iter(units)) == want
+    data = b"".join(b"\x00\x00\x01" + u for u in units)
+    rng = random.Random(2)
+    for _ in range(20):
+        cuts = sorted(rng.randrange(len(data)) for _ in range(rng.randrange(6)))
+        blocks = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        assert list(formats.nal_units_of_blocks(iter(blocks))) == units
+    df = formats.read_picture_messages(spark.createDataFrame([("f", bytearray(data))], "name string, content binary"))
+    assert [r.message and bytes(r.message) for r in df.orderBy("ordinal").collect()] == want
+
+
+def test_timecode_files(spark, tmp_path):
+    f = spark.createDataFrame([("a", 1, 41.7083), ("a", 0, 0.0), ("b", 0, 3.0)], "k string, i int, t double")
+    timeline.write_timecodes(f, ["k"], "t", ["i"], str(tmp_path / "t"), offset_ms=5)
+    read = lambda k: [x for p in sorted((tmp_path / "t" / f"by_k={k}").glob("part-*")) for x in p.read_text().split("\n") if x]
+    assert read("a") == ["# timestamp format v2", "5.000", "46.708"] and read("b") == ["# timestamp format v2", "8.000"]
+
+
+def test_comparison_readings(spark):
+    from chunkloom.sources import probes
+
+    one = ["Source:", " Color Family: YUV", " Range: Limited", " YUV Matrix: BT.709", " Transfer Function: PQ", " Primaries: BT.2020", "odd: x", "Encoded:", " Color Family: RGB", " Range: Full", " YUV Matrix: none", " Transfer Function: sRGB", " Primaries: BT.709", " Range: Limited"]
+    rows_ = [("f", i, x) for i, x in enumerate(one)] + [("g", i, x) for i, x in enumerate(one[:9])]
+    (r,) = probes.readings(spark.createDataFrame(rows_, "file string, line_no int, line string"), ["file"]).collect()
+    assert r.file == "f" and tuple(r.source) == ("YUV", "Limited", "BT.709", "PQ", "BT.2020") and tuple(r.encoded) == ("RGB", "Limited", "none", "sRGB", "BT.709")
+    df = spark.createDataFrame([("MemTotal: 9 kB\nMemAvailable:  2097152 kB\n", "max"), ("x", "3221225472")], "m string, l string")
+    got = df.select(probes.available_gib(F.col("m")), probes.group_headroom(F.col("l"), F.lit("2147483648"), F.lit("1073741824"))).collect()
+    assert [tuple(x) for x in got] == [(2.0, None), (None, 2.0)]
+
+
+def test_output_inside_input(tmp_path):
+    from chunkloom.operators import catalog
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "link").symlink_to(tmp_path / "in" / "sub")
+    assert catalog.inside_itself(str(tmp_path / "link"), str(tmp_path / "in")) and catalog.inside_itself(str(tmp_path / "x" / ".." / "in"), str(tmp_path / "in"))
+    assert not catalog.inside_itself(str(tmp_path / "out"), str(tmp_path / "in"))
