@@ -18,7 +18,7 @@ def _pick(values, i):
 
 @query("""WITH j AS (SELECT o_orderkey FROM orders), d AS (SELECT o_orderkey, o_custkey % 3 AS size, CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 = 1 THEN false END AS delivered FROM orders WHERE o_orderkey % 2 = 0)
 SELECT j.o_orderkey, coalesce(delivered, false) AS awaits_archiving FROM j LEFT JOIN d ON d.o_orderkey = j.o_orderkey AND size > 0 WHERE d.o_orderkey IS NULL OR coalesce(delivered, false)""")
-def open_jobs(spark, sf):
+def jobs_without_output(spark, sf):
     o, orders = F.col("o_orderkey"), _table(spark, sf, "orders")
     done = orders.where(o % 2 == 0).select("o_orderkey", (F.col("o_custkey") % 3).alias("size"), F.when(o % 4 == 0, True).when(o % 4 == 1, False).alias("delivered"))
     return catalog.open_jobs(orders.select("o_orderkey"), done, ["o_orderkey"])
