@@ -12,43 +12,84 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents worked on together inside a Python worker; bounds its memory whatever Arrow sends.
-SLICE = 512
+#: Documents, and bytes of their text, worked on together inside a Python worker; bounds its memory whatever Arrow sends.
+SLICE, SLICE_BYTES = 512, 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chunkloom-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+#: Paths of the tables that this process has written, in order.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it again: this cuts lineage and survives lost executors."""
+    """Write df to a table in the shared folder and read it again: this cuts lineage and survives lost executors. discard() deletes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whatever kind it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since len(WRITTEN) was so; their readers must be done."""
+    while len(WRITTEN) > since:
+        delete(spark, WRITTEN.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """About how many bytes df's files have, from their listing alone; 0 where Spark doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many."""
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has a column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, and of at most so many bytes of text unless one row has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if text in batch.schema.names:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        else:
+            ends = np.zeros(batch.num_rows, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = max(at + 1, min(at + rows, most))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -86,6 +127,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def runs(values: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins, and the end."""
     if not len(values):
