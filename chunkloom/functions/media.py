@@ -163,3 +163,51 @@ def devices(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     pattern = r"^GPU ([^:]*):(.*)$"
     rows = lines.select(*keys, F.trim(F.regexp_extract(F.trim(line), pattern, 1)).try_cast("int").alias("id"), F.trim(F.regexp_extract(F.trim(line), pattern, 2)).alias("label"))
     return rows.where(F.col("id") >= 0).withColumn("hardware", ~F.lower("label").rlike("llvmpipe|software|swrast"))
+
+
+def short_label(text: Column, most: int) -> Column:
+    """A message whose leading [name] is cut to so many characters; brackets in the name are counted, and only the first line is looked at. Others stay as they are."""
+    line = F.substring_index(text, "\n", 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        here = acc["at"] + 1
+        return F.struct(depth.alias("depth"), here.alias("at"), F.when((acc["end"] == 0) & (depth == 0), here).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(F.split(line, ""), zero, step, lambda acc: acc["end"])
+    cut = F.concat(F.lit("["), F.substring(text, 2, most), F.lit("\u2026]"), F.substring(text, end + 1, F.length(text)))
+    return F.when(F.startswith(text, F.lit("[")) & (end - 2 > most), cut).otherwise(text)
+
+
+def single_cpu_args(encoder: Column, cpus: Column, params: Column, flag: str = "lp") -> Column:
+    """The level of parallelism that the plain encoder must be told on one CPU, unless the settings (map) say it."""
+    alone = (cpus == 1) & (encoder == "svt-av1") & ~F.map_contains_key(params, flag)
+    return F.when(F.coalesce(alone, F.lit(False)), F.array(F.lit(f"--{flag}"), F.lit("1")))
+
+
+def frame_header(w: Column, h: Column, num: Column, den: Column, colorspace: Column) -> Column:
+    """The head line of a raw video stream."""
+    return F.concat(F.lit("YUV4MPEG2 W"), w.cast("string"), F.lit(" H"), h.cast("string"), F.lit(" F"), num.cast("string"), F.lit(":"), den.cast("string"), F.lit(" Ip C"), colorspace, F.lit("\n"))
+
+
+def any_interlaced(frames: DataFrame, keys: list[str], order: str, first: int = 5) -> DataFrame:
+    """keys, any_frame: whether one of the first frames is marked. frames: keys, order (from 0), interlaced."""
+    return frames.where(F.col(order) < first).groupBy(*keys).agg(F.bool_or(F.coalesce("interlaced", F.lit(False))).alias("any_frame"))
+
+
+def settings(env: dict[str, str]) -> dict[str, str | int]:
+    """Folders and poll interval from the environment; a bad or missing interval is the default, and a second is the least."""
+    raw = env.get("POLL_INTERVAL", "")
+    poll = int(raw) if raw.isascii() and raw.isdigit() else 60
+    return {"input": env.get("INPUT_DIR", "./input"), "output": env.get("OUTPUT_DIR", "./output"), "poll_s": max(1, poll)}
+
+
+def reply_kind(args: list[str]) -> str | None:
+    """What a command line asks for: nothing, 'version' or 'help'; anything else is an error."""
+    if not args:
+        return None
+    known = {"--version": "version", "-V": "version", "--help": "help", "-h": "help"}
+    if len(args) == 1 and args[0] in known:
+        return known[args[0]]
+    raise ValueError("no argument but --version or --help is taken, got: " + " ".join(args))

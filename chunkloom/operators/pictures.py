@@ -222,3 +222,18 @@ def metadata_filter(tags: Column, name: str = "av1_metadata") -> Column:
 def banding_feature(args: Column) -> Column:
     """The banding metric's options: PQ has a curve of its own."""
     return F.when(flag_value(args, "--transfer-characteristics") == "16", "cambi=full_ref=true:eotf=pq").otherwise("cambi=full_ref=true")
+
+
+def message_dictionary(frames: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each file's messages once (keys, id, hex), numbered by their first frame, and its frames with the number of theirs (keys, frame, id). frames: keys, frame, message (binary)."""
+    first = frames.where(F.col("message").isNotNull()).groupBy(*keys, F.lower(F.hex("message")).alias("hex")).agg(F.min("frame").alias("__f"))
+    ids = first.select(*keys, "hex", (F.row_number().over(Window.partitionBy(*keys).orderBy("__f")) - 1).cast("long").alias("id"))
+    numbered = frames.select(*keys, "frame", F.lower(F.hex("message")).alias("hex")).join(ids, [*keys, "hex"], "left").select(*keys, "frame", "id")
+    return ids.select(*keys, "id", "hex"), numbered
+
+
+def from_dictionary(messages: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, frame, message, again from a dictionary; a number that it lacks is an error."""
+    both = frames.join(messages.select(*keys, "id", F.unhex("hex").alias("message")), [*keys, "id"], "left")
+    lost = F.col("id").isNotNull() & F.col("message").isNull()
+    return both.select(*keys, "frame", F.when(lost, F.raise_error(F.lit("message number out of range")).cast("binary")).otherwise(F.col("message")).alias("message"))

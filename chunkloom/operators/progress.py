@@ -138,6 +138,26 @@ def claimed(sources: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFra
     return both.withColumns({"wipe": F.coalesce(F.col("__id") != now, F.lit(False)), "record": ~F.col("__id").eqNullSafe(now)}).drop("__id")
 
 
+def due_jobs(jobs: DataFrame, retries: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """The jobs that may be tried: never failed, or their wait is over, or their profile has changed since. jobs: keys, profile; retries: keys, due, profile."""
+    from .state import is_due
+
+    known = retries.select(*keys, F.col("due").alias("__due"), F.col("profile").alias("__profile"), F.lit(True).alias("__failed"))
+    both = jobs.join(known, keys, "left")
+    return both.where(F.col("__failed").isNull() | is_due(now, F.col("__due"), F.col("profile"), F.col("__profile"))).select(*jobs.columns)
+
+
+def failure_markers(failed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source_id, profile_hash, text: the markers of failed jobs, by which they are passed over until the source or the profile changes. failed: keys, path, size, profile_hash, chain."""
+    return failed.select(*keys, source_id(F.col("path"), F.col("size")).alias("source_id"), "profile_hash", chain_text(F.col("chain")).alias("text"))
+
+
+def unchanged(sources: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
+    """sources with same: whether the source is still the one recorded, as is asked before a delivery. recorded: keys, id."""
+    both = sources.join(recorded.select(*keys, F.trim("id").alias("__id")), keys, "left")
+    return both.withColumn("same", F.coalesce(F.col("__id") == source_id(F.col("path"), F.col("size")), F.lit(False))).drop("__id")
+
+
 def discarded(state: DataFrame, changed: DataFrame, keys: list[str], kept: tuple[str, ...] = ("index", "crop")) -> DataFrame:
     """What of the remembered state (keys, kind, ...) stays when settings changed for keys: only kinds that don't depend on them."""
     gone = changed.select(*keys).distinct().withColumn("__gone", F.lit(True))

@@ -183,3 +183,64 @@ def same_picture(spark, sf):
     a = one(F.when(c("l_partkey") % 3 == 0, "RGB").otherwise("YUV"), F.lit("x"), F.lit(None).cast("string"), F.lit("m"))
     b = one(F.lit("YUV"), F.when(c("l_suppkey") % 2 == 0, "x").otherwise("y"), F.when(c("l_linenumber") % 2 != 0, "p"), F.when(c("l_orderkey") % 2 == 0, "m").otherwise("n"))
     return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", color.same_picture(a, b).alias("alike"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, ['[ab', '[a[b]cdefgh] x]', '[short] y', 'plain [abcdefgh]', '[abcdefgh]' || chr(10) || 'z', '[abc' || chr(10) || 'defgh] q'][o_orderkey % 6 + 1] AS t FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN '[a[b]c' || chr(8230) || '] x]' WHEN 4 THEN '[abcde' || chr(8230) || ']' || chr(10) || 'z' ELSE t END AS label, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 1 THEN '--lp 1' END AS args,
+  o_orderkey % 5 <> 0 OR o_orderkey % 4 < 2 AS measurable, 'YUV4MPEG2 W' || o_orderkey || ' H1080 F24000:1001 Ip C420p10' || chr(10) AS head FROM m""")
+def labels_and_flags(spark, sf):
+    from chunkloom.functions import geometry
+
+    o = F.col("o_orderkey")
+    text = _pick(("[ab", "[a[b]cdefgh] x]", "[short] y", "plain [abcdefgh]", "[abcdefgh]\nz", "[abc\ndefgh] q"), o % 6)
+    args = media.single_cpu_args(F.lit("svt-av1"), o % 3, F.when(o % 2 == 1, F.create_map(F.lit("lp"), F.lit("2"))).otherwise(F.create_map(F.lit("crf"), F.lit("2"))))
+    able = geometry.measurable(F.when(o % 5 == 0, "bwdif"), F.when(o % 4 == 0, "x"), F.when(o % 4 == 1, "x"))
+    head = media.frame_header(o, F.lit(1080), F.lit(24000), F.lit(1001), geometry.header_colorspace(F.lit("420"), F.lit(10)))
+    return _table(spark, sf, "orders").select("o_orderkey", media.short_label(text, 5).alias("label"), F.array_join(args, " ").alias("args"), able.alias("measurable"), head.alias("head"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT l_orderkey, l_linenumber AS frame, CASE WHEN l_partkey % 4 > 0 THEN 'm' || l_partkey % 3 END AS message FROM lines),
+f AS (SELECT l_orderkey, message, min(frame) AS f FROM m WHERE message IS NOT NULL GROUP BY 1, 2), d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY f) - 1 AS id FROM f)
+SELECT m.l_orderkey, frame, id, lower(hex(m.message)) AS hex, m.message FROM m LEFT JOIN d ON d.l_orderkey = m.l_orderkey AND d.message = m.message""")
+def message_dictionary(spark, sf):
+    from chunkloom.operators import pictures
+
+    c = F.col
+    frames = _lines(spark, sf).select("l_orderkey", c("l_linenumber").alias("frame"), F.when(c("l_partkey") % 4 > 0, F.concat(F.lit("m"), (c("l_partkey") % 3).cast("string")).cast("binary")).alias("message"))
+    messages, numbered = pictures.message_dictionary(frames, ["l_orderkey"])
+    back = pictures.from_dictionary(messages, numbered, ["l_orderkey"]).withColumn("message", c("message").cast("string"))
+    return back.join(numbered.join(messages, ["l_orderkey", "id"], "left"), ["l_orderkey", "frame"])
+
+
+@query(f"""WITH {LINES}, a AS (SELECT l_orderkey, bool_or(l_partkey % 6 = 0) AS any_frame FROM lines WHERE l_linenumber - 1 < 2 GROUP BY 1)
+SELECT o.o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE coalesce(any_frame, false) END AS flagged FROM orders o LEFT JOIN a ON l_orderkey = o_orderkey""")
+def flagged_interlaced(spark, sf):
+    o = F.col("o_orderkey")
+    seen = media.any_interlaced(_lines(spark, sf).select("l_orderkey", (F.col("l_linenumber") - 1).alias("frame"), (F.col("l_partkey") % 6 == 0).alias("interlaced")), ["l_orderkey"], "frame", 2)
+    rows = _table(spark, sf, "orders").join(seen, o == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", media.interlaced_flag(F.when(o % 4 == 0, "bt").when(o % 4 == 1, "progressive"), F.col("any_frame")).alias("flagged"))
+
+
+@query("""WITH j AS (SELECT o_orderkey, o_custkey % 3 AS profile FROM orders), r AS (SELECT o_orderkey, o_orderkey % 40 AS due, o_custkey % 2 AS profile FROM orders WHERE o_orderkey % 3 > 0)
+SELECT j.o_orderkey, j.profile FROM j LEFT JOIN r USING (o_orderkey) WHERE r.o_orderkey IS NULL OR 20 >= due OR j.profile IS DISTINCT FROM r.profile""")
+def due_jobs(spark, sf):
+    from chunkloom.operators import progress
+
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    orders = _table(spark, sf, "orders")
+    return progress.due_jobs(orders.select("o_orderkey", (k % 3).alias("profile")), orders.where(o % 3 > 0).select("o_orderkey", (o % 40).alias("due"), (k % 2).alias("profile")), ["o_orderkey"], F.lit(20))
+
+
+@query("""WITH s AS (SELECT o_orderkey, '/in/' || o_custkey AS path, o_orderkey % 50 AS size FROM orders)
+SELECT o_orderkey, o_orderkey % 4 IN (0, 3) AS same, path || chr(10) || size AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN 'p' END AS profile_hash, CASE WHEN o_orderkey % 5 = 0 THEN 'probe: late' ELSE 'probe' END AS text FROM s""")
+def failure_records(spark, sf):
+    from chunkloom.operators import progress
+
+    o = F.col("o_orderkey")
+    s = _table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("/in/"), F.col("o_custkey").cast("string")).alias("path"), (o % 50).alias("size"))
+    own = progress.source_id(F.col("path"), F.col("size"))
+    seen = progress.unchanged(s, s.where(o % 4 != 2).select("o_orderkey", F.when(o % 4 == 1, "other").otherwise(F.concat(F.lit(" "), own)).alias("id")), ["o_orderkey"])
+    link = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text"))
+    chain = F.when(o % 5 == 0, F.array(link("Other", "probe"), link("TimedOut", "late"))).otherwise(F.array(link("Transient", "x"), link("Other", "probe")))
+    markers = progress.failure_markers(s.withColumn("profile_hash", F.when(o % 2 == 0, "p")).withColumn("chain", chain), ["o_orderkey"])
+    return seen.select("o_orderkey", "same").join(markers, "o_orderkey")

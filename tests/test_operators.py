@@ -347,3 +347,12 @@ def test_output_inside_input(tmp_path):
     (tmp_path / "link").symlink_to(tmp_path / "in" / "sub")
     assert catalog.inside_itself(str(tmp_path / "link"), str(tmp_path / "in")) and catalog.inside_itself(str(tmp_path / "x" / ".." / "in"), str(tmp_path / "in"))
     assert not catalog.inside_itself(str(tmp_path / "out"), str(tmp_path / "in"))
+
+
+def test_command_line_and_environment():
+    assert media.settings({}) == {"input": "./input", "output": "./output", "poll_s": 60} and media.settings({"POLL_INTERVAL": "0", "INPUT_DIR": "/a"}) == {"input": "/a", "output": "./output", "poll_s": 1}
+    assert media.settings({"POLL_INTERVAL": "x"})["poll_s"] == 60 and media.settings({"POLL_INTERVAL": "5"})["poll_s"] == 5
+    assert media.reply_kind([]) is None and media.reply_kind(["-V"]) == "version" and media.reply_kind(["--help"]) == "help"
+    for args in (["x"], ["--help", "--version"]):
+        with pytest.raises(ValueError):
+            media.reply_kind(args)
