@@ -4,8 +4,9 @@ Pre-tokens of like length form the rows of a padded matrix of ids. In each round
 its leftmost pair of least rank, found in an open-addressing hash table of pairs; the row is then
 compacted, and rows without a pair left leave the matrix. Ids are decoded by gathering bytes.
 
-Cases: null is empty (no ids, the hash of nothing); repeated rows are encoded each; extra columns
-are ignored; a pre-token of any length is encoded whole.
+Cases: null is empty (no ids, the hash of nothing); very long texts are encoded whole, and so is a
+pre-token of any length; repeated rows are encoded each; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from . import common
-from .tokenizing import SETTLED, stand_ins
+from .tokenizing import Splitter
 
 NONE = np.int32(2**31 - 1)
 KEEP = 300_000
@@ -185,25 +185,7 @@ class TextEncoder:
     """Texts to ids; pre-tokens seen before are looked up, up to KEEP of them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.encoder, self.split, self.known, self.stand_ins = Encoder(ranks), regex.compile(pattern).findall, {}, None
-
-    def pieces(self, text: str | None) -> list[str]:
-        """The text's pre-tokens; where it has code points that libraries may class differently, those of the text with stand-ins say where to cut."""
-        if not text:
-            return []
-        if SETTLED.fullmatch(text):
-            return self.split(text)
-        if self.stand_ins is None:
-            self.stand_ins = stand_ins()
-        alike = text.translate(self.stand_ins)
-        if alike == text:
-            return self.split(text)
-        out, at = [], 0
-        for piece in self.split(alike):
-            at = alike.index(piece, at)
-            out.append(text[at : at + len(piece)])
-            at += len(piece)
-        return out
+        self.encoder, self.pieces, self.known = Encoder(ranks), Splitter(pattern), {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [self.pieces(t) for t in texts]

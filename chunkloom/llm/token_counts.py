@@ -4,11 +4,12 @@ Each slice of documents is split into pre-tokens; every distinct pre-token's pie
 once, the counts are joined to the documents' pre-token frequencies, and the products are summed.
 The distinct pre-tokens are those of a task, not of the corpus: a table of (document, pre-token)
 over the whole corpus is larger than the corpus, and shuffling it would take more disk than the
-texts. Counts of a task's earlier slices are kept, up to KEEP pre-tokens.
+texts. Counts of a task's earlier slices are kept, up to KEEP pre-tokens. Texts of any script are
+split, with stand-ins for characters that libraries class differently (tokenizing.py).
 
-Cases: null is empty, with 0 tokens; a special token's string inside a text is one token, as the
-library does by default; repeated rows are counted each; extra columns are ignored; texts with
-recently assigned code points are counted by the library itself, as Unicode versions differ.
+Cases: null is empty, with 0 tokens; very long texts are counted whole; a special token's string
+inside a text is one token, as the library does by default; repeated rows are counted each; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenizing import SETTLED, tokenizer
+from .tokenizing import Splitter, tokenizer
 
 KEEP = 300_000
 
@@ -30,29 +31,22 @@ KEEP = 300_000
 def counting(blob: bytes, pattern: str, specials: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = tokenizer(blob)
-        split = regex.compile(pattern).findall
+        split = Splitter(pattern)
         parts = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         pieces: dict[str, int] = {}
         for batch in common.sliced(batches):
             texts = batch.column("text").to_pylist()
-            n_special, frequency, whole = [0] * len(texts), [None] * len(texts), {}
+            n_special, frequency = [0] * len(texts), []
             for i, text in enumerate(texts):
-                if not text:
-                    continue
-                if not SETTLED.fullmatch(text):
-                    whole[i] = len(library.encode(text, add_special_tokens=False).ids)
-                elif parts and parts.search(text):
-                    between = parts.split(text)
-                    n_special[i] = len(between) - 1
-                    frequency[i] = Counter(p for part in between for p in split(part))
-                else:
-                    frequency[i] = Counter(split(text))
+                between = parts.split(text) if text and parts and parts.search(text) else [text]
+                n_special[i] = len(between) - 1
+                frequency.append(Counter(split(text)) if len(between) == 1 else Counter(p for part in between for p in split(part)))
             if len(pieces) > KEEP:
                 pieces.clear()
-            new = list({p for f in frequency if f for p in f} - pieces.keys())
+            new = list(set().union(*frequency) - pieces.keys())
             for p, e in zip(new, library.encode_batch(new, add_special_tokens=False), strict=True):
                 pieces[p] = len(e.ids)
-            count = [whole[i] if i in whole else n_special[i] + (sum(n * pieces[p] for p, n in f.items()) if f else 0) for i, f in enumerate(frequency)]
+            count = [k + sum(n * pieces[p] for p, n in f.items()) for k, f in zip(n_special, frequency, strict=True)]
             n_bytes = [len(t.encode("utf-8")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(count, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
