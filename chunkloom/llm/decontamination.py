@@ -9,11 +9,13 @@ holds very many items), the pair of partitions is searched through the items' po
 Candidates are verified by exact containment of the shingles' words.
 
 Words are runs of letters and digits in lower case; shingles have five words, and an item of fewer
-words is one shingle of its own length. Items are searched in blocks of at most BLOCK, so what a
-task holds doesn't grow with the benchmark.
+words is one shingle of its own length. Items are searched in blocks of about BLOCK items and BYTES
+of their text, one block after the other, so neither a task nor the driver holds more of the
+benchmark. Where there are several blocks, each one's result is written to the shared folder.
 
-Cases: null and empty texts and items match nothing; repeated rows and items are matched each;
-extra columns are ignored, or kept in filtering; empty tables give empty results.
+Cases: null and empty texts and items match nothing; very long texts are searched whole; repeated
+rows and items are matched each; extra columns are ignored, or kept in filtering, whatever their
+names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from . import common
 
 SHINGLE, THRESHOLD = 5, 0.8
 PERMUTATIONS, MISS = 128, 1e-6
-BLOCK = 20_000
+BLOCK, BYTES = 20_000, 1 << 25
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -74,9 +76,9 @@ class Items:
             w = [names[c] for c in codes[own].tolist()]
             self.ids.append(item)
             self.words.append({" ".join(w[k : k + n]) for k in range(len(w) - n + 1)})
-            self.sets.append(np.unique(shingle_hashes(h[own], int(n))))
+            self.sets.append(common.distinct(shingle_hashes(h[own], int(n))))
             self.sizes_used.add(int(n))
-        self.universe = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.universe = common.distinct(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         at = [np.searchsorted(self.universe, s) for s in self.sets]
         order = np.argsort(np.concatenate(at), kind="stable") if at else np.zeros(0, np.int64)
         self.posting = np.repeat(np.arange(len(at)), [len(a) for a in at])[order] if at else np.zeros(0, np.int64)
@@ -151,49 +153,49 @@ class Items:
 HITS = "array<struct<item_id:bigint,shared:bigint,of:bigint>>"
 
 
-def blocks_of(items: DataFrame, block: int = BLOCK):
-    """The benchmark as blocks of about so many items, each gathered alone."""
-    n = max(1, -(-items.count() // block))
+def blocks_of(items: DataFrame, block: int = BLOCK) -> Iterator[tuple[bool, list[int], list[str | None]]]:
+    """Whether there are several blocks, and the ids and texts of each; a block is gathered when it is asked for."""
+    many, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(1, -(-many // block), -(-(size or 0) // BYTES))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         rows = part.select(F.col("item_id").cast("long"), "text").collect()
-        yield [r[0] for r in rows], [r[1] for r in rows]
+        yield n > 1, [r[0] for r in rows], [r[1] for r in rows]
 
 
-def searching(ids: list[int], texts: list[str | None], keep: list[str], threshold: float, shingle: int):
+def searching(ids: list[int], texts: list[str | None], keep: list[str], hits: str, threshold: float, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts, threshold, shingle)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("of", pa.int64())]))
         for batch in common.sliced(batches):
-            found = items.search(batch.column("text"))
-            hits = pa.array([[dict(zip(("item_id", "shared", "of"), x, strict=True)) for x in f] for f in found], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), hits], [*keep, "__hits"])
+            found = pa.array([[dict(zip(("item_id", "shared", "of"), x, strict=True)) for x in f] for f in items.search(batch.column("text"))], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], [*keep, hits])
 
     return run
 
 
-def searched(docs: DataFrame, items: DataFrame, keep: list[str], threshold: float = THRESHOLD, shingle: int = SHINGLE) -> list[DataFrame]:
-    """For each block of items: keep and __hits (the items a row contains)."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", __hits {HITS}"
-    columns = list(dict.fromkeys([*keep, "text"]))
-    return [docs.select(*columns).mapInArrow(searching(ids, texts, keep, threshold, shingle), schema) for ids, texts in blocks_of(items)]
+def searched(docs: DataFrame, ids: list[int], texts: list[str | None], keep: list[str], hits: str, threshold: float, shingle: int) -> DataFrame:
+    """keep and, under the name hits, the items of the block that a row contains."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{hits}` {HITS}"
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(searching(ids, texts, keep, hits, threshold, shingle), schema)
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, shared, item_shingles, containment: a row for each item that a row of docs contains to the threshold or more."""
-    parts = [x.select("doc_id", F.explode("__hits").alias("x")) for x in searched(docs, items, ["doc_id"], threshold, shingle)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    out = None
+    for several, ids, texts in blocks_of(items, block):
+        part = searched(docs, ids, texts, ["doc_id"], "hits", threshold, shingle).select("doc_id", F.explode("hits").alias("x"))
+        part = common.written(part, "leaks") if several else part
+        out = part if out is None else out.unionByName(part)
     return out.select("doc_id", F.col("x.item_id"), F.col("x.shared"), F.col("x.of").alias("item_shingles"), (F.col("x.shared") / F.col("x.of")).alias("containment"))
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """The rows that contain no item, all columns."""
-    out = docs
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns) + f", __hits {HITS}"
-    for ids, texts in blocks_of(items):
-        out = out.mapInArrow(searching(ids, texts, docs.columns, threshold, shingle), schema).where(F.size("__hits") == 0).drop("__hits")
+    out, hits = docs, common.free_name(docs, "hits")
+    for several, ids, texts in blocks_of(items, block):
+        out = searched(out, ids, texts, docs.columns, hits, threshold, shingle).where(F.size(hits) == 0).drop(hits)
+        out = common.written(out, "clean") if several else out
     return out
 
 
