@@ -38,6 +38,8 @@ KEEP = 250_000
 #: Fixed value: the split pattern of the word-end BPE file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WIDTH = {"byte": 4, "bit": 32}
+#: Stored bytes of the documents that are meant for a file.
+PART_BYTES = 1 << 27
 
 
 def planes_of(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -109,7 +111,11 @@ class WordEncoder:
 
         self.library, self.split = tokenizer(blob), regex.compile(WORD_PATTERN).findall
         self.known, self.older, self.words = {}, {}, {}
-        self.specials = [t["content"] for t in json.loads(blob)["added_tokens"]]
+        rules = json.loads(blob)
+        pattern = json.dumps(rules.get("pre_tokenizer"))
+        if json.dumps(WORD_PATTERN) not in pattern or "</w>" not in json.dumps(rules["model"].get("end_of_word_suffix")):
+            raise ValueError("this tokenizer splits words in another way than WORD_PATTERN")
+        self.specials = [t["content"] for t in rules["added_tokens"]]
         self.model, self.visible = self.library.model, byte_letters()
         self.raw = [struct.pack("<I", k) for k in range(self.library.get_vocab_size())]
 
@@ -198,7 +204,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, kind: st
     with open(tokenizer_path, "rb") as f:
         blob = f.read()
     order = ["doc_id", "__t"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), common.stored_bytes(docs) // PART_BYTES)
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("__t")).repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = dealt.select("doc_id", "text").mapInArrow(writing(blob, end_id, kind, block, segment_ids), "part int, first long, n_ids long, segment binary")
     rows.write.option("compression", "uncompressed").option("parquet.block.size", str(32 << 20)).parquet(path)
