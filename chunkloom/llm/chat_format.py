@@ -7,8 +7,9 @@ output can be parsed back, and spans of assistant text form the loss mask.
 
 Cases: a null text or role is an empty one; a null order counts as first; turns with one order are
 sorted by role, then text; repeated rows are repeated turns; a null conversation id is a
-conversation; extra columns are ignored; records of an unknown layout are returned apart, never
-dropped in silence; empty tables give empty results.
+conversation; a conversation of any length is one string, so it must fit a task; extra columns are
+ignored; records of an unknown layout are returned apart, never dropped in silence; empty tables
+give empty results.
 """
 
 from __future__ import annotations

@@ -10,9 +10,10 @@ Documents are dealt into groups of about GROUP bytes. A group counts its n-grams
 packed, to as many buckets; a bucket adds up what the groups sent and answers each with the corpus's
 counts in the order they came. No table is broadcast, and none is held whole by a task.
 
-Cases: null and empty texts have no tokens and a score of zero; repeated rows count and are scored
-each; without target documents the target model is uniform; extra columns are ignored. All rows of
-one doc_id are in one group.
+Cases: null and empty texts have no tokens and a score of zero; very long texts are scored whole, and
+make their group as large; repeated rows count and are scored each; without target documents the
+target model is uniform; extra columns are ignored; an empty table gives an empty result. All rows
+of one doc_id are in one group.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ class Grams:
         self.names = pa.concat_arrays([pa.array([""], pa.large_string()), lower.dictionary.take(rank).cast(pa.large_string())])
         self.ids, self.before, n = ids, contexts(ids, self.begins), len(self.names)
         self.pairs, self.pair_of = np.unique(self.before * n + ids, return_inverse=True)
-        self.heads = np.unique(self.before)
+        self.heads = common.distinct(self.before)
         self.head_of_pair = np.searchsorted(self.heads, self.pairs // n)
         self.word_of_pair = self.pairs % n - 1
         h = common.mix(common.hashes_of(self.names))
