@@ -27,6 +27,9 @@ def test_token_counts(docs, none):
     n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     want = sorted(((i, len(t.encode()), n(t), n(t) > 512) for i, t in source(docs)), key=str)
     assert got(token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    odd = ["a\U000107bbb \U0001093f\U00010940x it's", "1\U00011de05 <|endoftext|>\U00011de1", "кириллица Ωμέγα العربية \U0001f600\U000107bc!?", " \U00016d40'll\n\n  x", "w" * 30_000 + " €→ " * 9_000]
+    rows = token_counts.count_tokens(docs.sparkSession.createDataFrame(list(enumerate(odd)), "doc_id int, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: n(t) for i, t in enumerate(odd)}
     assert token_counts.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
@@ -52,6 +55,8 @@ def test_byte_bpe_pieces_of_any_length():
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files(spark, docs, none, tmp_path, kind):
+    with pytest.raises(ValueError):
+        token_files.WordEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     token_files.write(docs, str(tmp_path / "t"), path, 2, kind=kind, block=64, segment_ids=50)
@@ -82,7 +87,8 @@ def test_line_dedup(docs, none):
     out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     assert got(out, "doc_id", "n_lines", "n_dropped", "kept") == sorted(want, key=str)
     assert got(line_dedup.dedup_lines(docs), "doc_id", "text") == sorted(((i, k) for i, _, _, k in want), key=str)
-    assert line_dedup.dedup_lines(docs).columns == docs.columns
+    odd = docs.withColumn("kept", F.lit(3)).withColumn("n_dropped", F.lit(4)).withColumn("bitmap", F.lit(5)).withColumn("frequent", F.lit(6))
+    assert line_dedup.dedup_lines(odd).columns == odd.columns and {(r.kept, r.n_dropped, r.bitmap) for r in line_dedup.dedup_lines(odd).collect()} == {(3, 4, 5)}
     assert line_dedup.dedup_lines(none).count() == 0
 
 
@@ -106,14 +112,24 @@ def test_fingerprints(docs, none):
     assert fingerprints.edited_fingerprints(docs).count() == docs.count() and fingerprints.edited_fingerprints(none).count() == 0
 
 
-def test_hamming_search(spark):
+def test_hamming_search(spark, none):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(60)]
     near = [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) for b in base]
     signed = fingerprints.signed
-    f = lambda xs: spark.createDataFrame([(signed(x),) for x in xs], "fingerprint long")
-    found = {tuple(r) for r in fingerprints.within_radius(f(base), f(near), 3, 6).collect()}
-    assert found == {(signed(q), signed(s), (q ^ s).bit_count()) for q in near for s in base if (q ^ s).bit_count() <= 3}
+    f = lambda xs: spark.createDataFrame([(signed(x) if x is not None else None,) for x in xs], "fingerprint long")
+    for blocks in (5, 6):
+        found = [tuple(r) for r in fingerprints.within_radius(f([*base, *base, None]), f([*near, near[0], None]), 3, blocks).collect()]
+        want = {(signed(q), signed(s), (q ^ s).bit_count()) for q in near for s in base if (q ^ s).bit_count() <= 3}
+        assert set(found) == want and len(found) == len(want)  # each pair once, though several tables have it
+    empty = f(base).where("false")
+    assert fingerprints.within_radius(empty, f(near)).count() == fingerprints.within_radius(f(base), empty).count() == 0
+    rows = [(i if i % 9 else None, signed(x)) for i, x in enumerate([*base, *near, *near[:20]])]
+    counted = fingerprints.near_counts(spark.createDataFrame(rows, "doc_id long, fp long"), every=5).collect()
+    all_ = {x for _, x in rows}
+    close = lambda x: sum(((x ^ y) % 2**64).bit_count() <= 3 for y in all_ if y != x)
+    want = [(i, x, close(x) if i is not None and i % 5 == 0 else None) for i, x in rows]
+    assert sorted((tuple(r) for r in counted), key=str) == sorted(want, key=str)
 
 
 def test_chat_format(spark):
@@ -141,6 +157,18 @@ def test_chat_format(spark):
     assert back.m == "".join(odd)
 
 
+def test_chat_format_odd_rows(spark):
+    rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, None, "user", "first"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y"), (None, 0, "assistant", "z"), (2, 0, "assistant", "w" * 50_000 + "<")]
+    turns = spark.createDataFrame(rows, "id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("formatted", F.lit(2))
+    records = turns.select("id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    canonical, other = chat_format.canonical_turns(records)
+    assert other.count() == 0
+    out = chat_format.format_turns(canonical)
+    back = {r.id: ([(t.role, t.text) for t in r.t], r.m) for r in out.select("id", chat_format.parse_turns(F.col("formatted")).alias("t"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("m")).collect()}
+    assert back == {1: ([("user", "first"), ("user", ""), ("", "x"), ("assistant", "y"), ("assistant", "y")], "yy"), None: ([("assistant", "z")], "z"), 2: ([("assistant", "w" * 50_000 + "<")], "w" * 50_000 + "<")}
+    assert chat_format.format_turns(canonical.where("false")).count() == 0
+
+
 def test_bpe_recent_code_points():
     import public_tokenizers
     import tiktoken
@@ -150,3 +178,23 @@ def test_bpe_recent_code_points():
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ["a\U000107bbb \U0001093f\U00010940x it's", "1\U00011de05 \U00011de1", "กำ \U0001f600\U000107bc!?", " \U00016d40'll", "", None]
     assert [x for x in bpe.TextEncoder(ranks, public_tokenizers.PATTERN)(texts)] == [b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(t or "")) for t in texts]
+
+
+def test_line_dedup_frequent_keys(spark):
+    """Keys that are dealt over partitions give what brute force gives."""
+    rng = random.Random(3)
+    hot = ["the one line that every second document holds", "another line that very many documents hold too"]
+    rows = []
+    for i in range(3000):
+        lines = [f"a line of its own with number {rng.randrange(1800)}" for _ in range(rng.randrange(4))] + [x for x in hot if rng.random() < 0.6]
+        rng.shuffle(lines)
+        rows.append((i if i % 97 else None, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.frequent_keys(docs, 20)[0].count() >= 1
+    where = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            where.setdefault(x, set()).add(-1 if i is None else i)
+    want = [(i, "\n".join(x for x in t.split("\n") if len(x) < 20 or len(where[x]) < 3 or max(where[x]) == (-1 if i is None else i))) for i, t in rows]
+    assert got(line_dedup.dedup_lines(docs), "doc_id", "text") == sorted(want, key=str)
+    assert line_dedup.line_runs(docs)._jdf.queryExecution().executedPlan().toString().count("shufflepartitionidpassthrough") == 1
