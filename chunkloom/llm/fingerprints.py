@@ -4,11 +4,15 @@ Each term's 64-bit hash votes on 64 bits, once per occurrence, so a term weighs
 occurs. Votes are counted in packed lanes: sixteen longs of four 16-bit lanes, opened into 64
 counters every LANE terms. Permuted block tables find all fingerprints within a Hamming radius:
 with more blocks than the radius some blocks must agree, so a table for each choice of agreeing
-blocks is an equality join.
+blocks is an equality join. Every pair is taken from the first table that has it.
 
-Cases: null is empty; a text without terms has the fingerprint of zeros; equal texts have equal
-fingerprints; repeated rows get a row each; extra columns are ignored; in the search, repeated
-fingerprints are joined once and expanded by the caller.
+The search takes as queries the rows whose doc_id is divisible by EVERY, against all rows; it
+returns numbers, not pairs.
+
+Cases: null is empty; a text without terms has the fingerprint of zeros; very long texts are counted
+in stretches; equal texts have equal fingerprints; repeated rows get a row each; a null doc_id comes
+after all others and is no query; extra columns are ignored; empty tables give empty results; in the
+search, null fingerprints match nothing and repeated ones are joined once.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from . import common
 
 #: Terms counted in 16-bit lanes before these are opened.
 LANE = 32_000
+#: Rows whose doc_id is divisible by it are the search's queries; ids meant for a partition.
+EVERY, PART = 50, 5_000_000
 SPLIT = "[ \\t\\n\\x0b\\f\\r]+"
 
 
@@ -108,7 +114,8 @@ def signed(x: int) -> int:
 
 def within_radius(stored: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """query_fingerprint, fingerprint, differing: all distinct pairs within the radius. Both tables have a column fingerprint (long); nulls match nothing."""
-    masks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("m")) for t, m in enumerate(block_masks(radius, blocks))])
+    known = block_masks(radius, blocks)
+    masks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("m")) for t, m in enumerate(known)])
 
     def tables(df: DataFrame, name: str) -> DataFrame:
         one = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
@@ -116,7 +123,18 @@ def within_radius(stored: DataFrame, queries: DataFrame, radius: int = 3, blocks
 
     pairs = tables(queries, "query_fingerprint").join(tables(stored, "fingerprint"), ["t", "key"])
     near = pairs.withColumn("differing", distance(F.col("query_fingerprint"), F.col("fingerprint"))).where(F.col("differing") <= radius)
-    return near.select("query_fingerprint", "fingerprint", "differing").distinct()
+    differ = F.col("query_fingerprint").bitwiseXOR(F.col("fingerprint"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, t) for t, m in enumerate(known)])
+    return near.where(F.col("t") == first).select("query_fingerprint", "fingerprint", "differing")
+
+
+def near_counts(rows: DataFrame, every: int = EVERY, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """rows (doc_id, fp, ...) with near: of rows whose doc_id is divisible by every, how many other fingerprints lie within the radius of theirs; null for the rest."""
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = within_radius(rows.select(F.col("fp").alias("fingerprint")), rows.where(asked).select(F.col("fp").alias("fingerprint")), radius, blocks)
+    counts = found.groupBy(F.col("query_fingerprint").alias("__fp")).agg((F.count("*") - 1).alias("near"))
+    some = rows.where(asked).join(counts, F.col("fp") == F.col("__fp"), "left").drop("__fp")
+    return some.unionByName(rows.where(~asked).withColumn("near", F.lit(None).cast("long")))
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -126,7 +144,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
     partition's first id (one row per partition) is what follows the last of the one before.
     """
     ids = docs.groupBy("doc_id").agg(F.max(F.expr("length(coalesce(text, '')) div 2")).cast("long").alias("most"))
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART))
     dealt = common.written(ids.repartitionByRange(n, F.col("doc_id").desc_nulls_last()).withColumn("part", F.spark_partition_id()), "ids")
     within, parts = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last()), Window.orderBy("part")
     heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head"))  # a row per partition
@@ -153,7 +171,7 @@ def edited(docs: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fp, efp, next_fp: the fingerprints of each row's text, of its edited text and of the next document's."""
+    """doc_id, n_chars, edited_sha256, fp, efp, next_fp, near: the fingerprints of each row's text, of its edited text and of the next document's, and the search's result."""
     rows = edited(docs).select(
         "doc_id", "next_id",
         F.xxhash64("text").alias("tkey"),
@@ -164,7 +182,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     rows = common.written(rows, "fingerprints")  # each text is hashed once
     following = rows.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("tkey", "fp")).alias("next"))
-    return rows.join(following, rows["next_id"].eqNullSafe(F.col("id"))).select("doc_id", "n_chars", "edited_sha256", "fp", "efp", F.col("next.fp").alias("next_fp"))
+    return near_counts(rows).join(following, F.col("next_id").eqNullSafe(F.col("id"))).select("doc_id", "n_chars", "edited_sha256", "fp", "efp", F.col("next.fp").alias("next_fp"), "near")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -177,4 +195,5 @@ def query(spark, sf_dir: str) -> DataFrame:
         as_hex(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.col("near").alias("n_near_fingerprints"),
     )
