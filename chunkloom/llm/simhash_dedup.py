@@ -6,15 +6,16 @@ distance. The grid: the segments form `blocks` blocks; vectors within Manhattan
 in at most r blocks, so they lie in one cell of at least one grid whose axes are blocks - r of the
 blocks. Pairs that share a cell are tested by Manhattan distance, then by Hamming distance.
 
-Equal fingerprints are joined before. Within a cell only links that join groups are returned (no
+Equal fingerprints are joined before; a group of very many is joined to its id by broadcast. Within a cell only links that join groups are returned (no
 more than there are fingerprints), so a large group of near copies gives a forest, not all pairs.
 A cell of more than `cell_limit` fingerprints is cut into parts, and each pair of parts is a task's
 work, so no task holds an unbounded cell. Components come from large-star and small-star rounds,
 each written to the shared folder.
 
 Cases: null and empty texts have fingerprint zero and are linked as any other; a text of fewer
-words than a shingle is one shingle; repeated rows share a component and are returned each; a null
-doc_id takes part but names no component; extra columns are ignored; empty tables are fine.
+words than a shingle is one shingle; very long texts are counted in stretches; repeated rows share a
+component and are returned each; a null doc_id takes part but names no component; extra columns are
+ignored, or kept in filtering, whatever their names; empty tables are fine.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
+BLANK = " \t\n\x0b\x0c\r"
+WORD = re.compile(f"[^{BLANK}]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 LANES = np.uint64(0x0001000100010001)
 #: Shingles counted in 16-bit lanes before these are opened.
@@ -80,13 +82,14 @@ def fingerprint_texts(texts: list[str | None], shingle: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (long) of each row."""
+    """doc_id, th (the text's hash) and fp (long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprint_texts(batch.column("text").to_pylist(), shingle).view(np.int64))], ["doc_id", "fp"])
+            fp = pa.array(fingerprint_texts(batch.column("text").to_pylist(), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), fp], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def popcounts(fp: Column) -> Column:
@@ -135,26 +138,36 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by cell: a forest that joins what links within the radius join inside each cell."""
+    """For rows sorted by cell: a forest that joins what links within the radius join inside each cell. Rows are compared with those so many places on; after 1, 2, 4 ... places, cells that are one group by then are left alone."""
     n = len(fp)
     parent = np.arange(n)
     counts = embed(fp)
     at = np.arange(n)
-    step = 1
+    begin = common.runs(cell)
+    step, check = 1, 2
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
+
+    def joined() -> np.ndarray:
+        nonlocal held, size
+        found = _join(parent, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])) if held else parent
+        held, size = [], 0
+        return found
+
     while len(at := at[at + step < n]) and len(at := at[cell[at] == cell[at + step]]):
         near = at[manhattan(counts[at], counts[at + step]) <= radius]
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= radius]
         if len(near):
             held.append((near, near + step))
             size += len(near)
-            if size > 1_000_000:
-                parent = _join(parent, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-                held, size = [], 0
+        if size > 1_000_000 or step == check:
+            parent = joined()
+            if step == check:
+                check *= 2
+                whole = np.maximum.reduceat(parent, begin[:-1]) == np.minimum.reduceat(parent, begin[:-1])
+                at = at[~np.repeat(whole, np.diff(begin))[at]]
         step += 1
-    if held:
-        parent = _join(parent, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+    parent = joined()
     inner = np.flatnonzero(parent != np.arange(n))
     return fp[parent[inner]], fp[inner]
 
@@ -230,22 +243,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return star.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 7, cell_limit: int = 65_536, more: DataFrame | None = None) -> DataFrame:
-    """doc_id, fp, component_id of each row: the smallest doc_id that links within the radius, or more links between fingerprints (a, b), reach."""
-    fps = common.written(fingerprints(docs, shingle), "fps")
+#: Groups that hold more than this share of all fingerprints are few enough to be broadcast.
+GROUPS = 4096
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 7, cell_limit: int = 65_536, more: DataFrame | None = None, fps: DataFrame | None = None) -> DataFrame:
+    """doc_id, th, fp, component_id of each row: the smallest doc_id that links within the radius, or more links between fingerprints (a, b), reach. fps: the rows' doc_id, th and fp, if there are some already."""
+    fps = common.written(fingerprints(docs, shingle), "fps") if fps is None else fps
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = links(classes, radius, blocks, cell_limit)
     found = components(common.written(linked if more is None else linked.unionByName(more), "links"))
-    joined = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_class = joined.join(ids, "root").select("fp", "component_id")
-    return fps.join(per_class, "fp").select("doc_id", "fp", "component_id")
+    joined = common.written(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = common.written(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "groups")
+    bar = joined.count() // GROUPS + 1  # fewer than GROUPS groups can be as large
+    wide = F.broadcast(ids.where(F.col("n") >= bar).drop("n"))
+    narrow = joined.join(wide.select("root"), "root", "left_anti").join(ids.where(F.col("n") < bar).drop("n"), "root")
+    per_class = joined.join(wide, "root").unionByName(narrow).select("fp", "component_id")
+    return fps.join(per_class, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows whose doc_id is the smallest of its group, all columns; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, **how).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of the smallest doc_id of each group, all columns; rows with a null doc_id stay. Of rows that share a doc_id only those go that are in a group with a smaller one."""
+    name = common.free_name(docs, "gone")
+    gone = near_duplicates(docs, **how).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "th").distinct().select(F.struct("*").alias(name))
+    return docs.join(gone, (F.col("doc_id") == F.col(f"{name}.doc_id")) & (F.xxhash64("text") == F.col(f"{name}.th")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -84,6 +84,8 @@ def test_decontamination_matches_brute_force(spark, none):
             if s and len(s & shingles(t, min(5, n))) >= 0.8 * len(s):
                 want.add((i, item))
     assert {(r.doc_id, r.item_id) for r in decontamination.contained(docs, bench).collect()} == want and want
+    assert {(r.doc_id, r.item_id) for r in decontamination.contained(docs, bench, block=30).collect()} == want
+    assert {r.doc_id for r in decontamination.without_contaminated(docs.withColumn("hits", F.lit(1)), bench, block=30).collect()} == set(range(150)) - {i for i, _ in want} | {500, 501}
     clean = decontamination.without_contaminated(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(range(150)) - {i for i, _ in want} | {500, 501}
     assert decontamination.contained(docs, bench.where("false")).count() == 0 and decontamination.contained(none, bench).count() == 0
@@ -91,17 +93,51 @@ def test_decontamination_matches_brute_force(spark, none):
 
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(3)
-    e, trans = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
-    real = np.arange(5) < np.array([5, 3, 1])[:, None]
-    p, _ = toxicity.forward_backward(np.where(real, e, 0), real, trans)
-    for row, n in enumerate((5, 3, 1)):
-        total, on = 0.0, np.zeros(n)
+    trans, sizes = rng.normal(size=(2, 2)), (11, 3, 1, 8, 0, 4, 3)
+    psi = [rng.normal(size=n) for n in sizes]
+    found, moved = toxicity.forward_backward(np.concatenate(psi), toxicity.Steps.of(np.r_[0, np.cumsum(sizes)]), trans, pairs=True)
+    want_moved, at = np.zeros((2, 2)), 0
+    for x, n in zip(psi, sizes, strict=True):
+        total, on, go = 0.0, np.zeros(n), np.zeros((2, 2))
         for s in range(2**n):
             y = [s >> k & 1 for k in range(n)]
-            w = np.exp(sum(e[row, k] * y[k] for k in range(n)) + sum(trans[y[k - 1], y[k]] for k in range(1, n)))
+            w = np.exp(sum(x[k] * y[k] for k in range(n)) + sum(trans[y[k - 1], y[k]] for k in range(1, n)))
             total += w
             on += w * np.array(y)
-        assert np.allclose(p[row, :n], on / total)
+            for k in range(1, n):
+                go[y[k - 1], y[k]] += w
+        assert np.allclose(found[at : at + n], on / total)
+        at, want_moved = at + n, want_moved + go / total
+    assert np.allclose(moved, want_moved)
+
+
+def test_toxicity_scores_are_brute_force(spark, docs):
+    """A document's score from its own chain, token by token in plain Python."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("alpha beta gamma delta oaf dolt Epsilon".split()) for _ in range(n)) for n in (1, 63, 64, 65, 200, 700)] + ["", None, "?!"]
+    m = toxicity.Model(*(np.random.default_rng(k).normal(size=toxicity.SPACE).astype(np.float32) / 2 for k in range(3)), -0.5, np.array([[0.2, -0.7], [-0.1, 0.4]]), np.array([-1.0, 0.3, 0.5, 0.2]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(d, m).collect()}
+    import pyarrow as pa
+
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        f = toxicity.features(pa.array(words, pa.large_string())) if words else np.zeros((0, 7), int)
+        e = [m.bias + m.own[x].sum() for x in f]
+        for k in range(1, len(words)):
+            e[k] += m.before[f[k - 1][[0, 2]]].sum()
+            e[k - 1] += m.after[f[k][[0, 2]]].sum()
+        t, ahead, back = np.exp(m.trans), [], []
+        for k, x in enumerate(e):
+            v = np.array([1, np.exp(x)]) * (ahead[-1] @ t if k else 1)
+            ahead.append(v / v.sum())
+        for k in range(len(e) - 1, -1, -1):
+            v = t @ (np.array([1, np.exp(e[k + 1])]) * back[-1]) if back else np.ones(2)
+            back.append(v / v.sum())
+        p = np.array([(a * b)[1] / (a * b).sum() for a, b in zip(ahead, back[::-1], strict=True)])
+        total, top = p[p > 0.2].sum(), min(max(p.max(initial=1e-4), 1e-4), 1 - 1e-4)
+        x = np.array([1, np.log1p(total), np.log(top / (1 - top)), np.log((total + 0.1) / (len(words) + 20))])
+        assert abs(got[i] - 1 / (1 + np.exp(-x @ m.doc))) < 1e-6
 
 
 def test_toxicity_held_out(spark, docs, none):
@@ -117,15 +153,16 @@ def test_toxicity_held_out(spark, docs, none):
         rows.append((i, " ".join(w), y))
     d, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows] + [(5000, None), (5001, 7)], "doc_id long, toxic int")
     model = toxicity.train(d, labels)
-    out = toxicity.score(d, model, ["doc_id", "text"], spans=True).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
+    out = toxicity.score(d, model, ["doc_id", "text"], spans="spans").withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
     y = {r[0]: r[2] for r in rows}
     held = [r for r in out if r.held]
     right = sum((r.score >= 0.7) == bool(y[r.doc_id]) for r in held)
     assert len(held) > 200 and right / len(held) > 0.95
     assert {r.text[s.begin : s.end] for r in out for s in r.spans} == set(bad)
     assert toxicity.score(docs, model).count() == docs.count() and all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
-    clean = toxicity.without_toxic(docs.withColumn("toxic", F.lit(1)), labels)
-    assert clean.columns == [*docs.columns, "toxic"] and toxicity.without_toxic(none, labels.where("false")).count() == 0
+    more = docs.withColumn("toxic", F.lit(1)).withColumn("_score", F.lit(2)).withColumn("Spans", F.lit(3))
+    clean = toxicity.without_toxic(more, labels)
+    assert clean.columns == more.columns and toxicity.without_toxic(none, labels.where("false")).count() == 0
 
 
 def test_lm_scoring(spark, docs, none):
@@ -167,6 +204,35 @@ def test_lm_scoring_counts_every_ngram(spark):
         assert Counter((r.doc_id, r.n_tokens, round(r.target_loss, 7), round(r.background_loss, 7)) for r in got) == want
 
 
+def test_near_duplicates_brute_force(spark):
+    """Every row's component, with copies, steps of a few words, empty and null texts and null ids."""
+    rng = random.Random(12)
+    base = [" ".join(f"W{rng.randrange(60)}" for _ in range(n)) for n in (3, 5, 40, 90, 200, 400) for _ in range(5)]
+    texts = [*base, None, "", " \t"]
+    for t in base:
+        for _ in range(rng.randrange(4)):
+            w = t.split()
+            w[rng.randrange(len(w))] = "x"
+            texts.append(rng.choice([" ".join(w), t, t.lower(), t.replace(" ", "  ")]))
+            t = texts[-1]
+    rng.shuffle(texts)
+    rows = [(100 - i if i % 13 else None, t) for i, t in enumerate(texts)]
+    rows += rows[:3]
+    fp = simhash_dedup.fingerprint_texts([t for _, t in rows])
+    a, b = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    parent = simhash_dedup._join(np.arange(len(rows)), a, b)
+    least = {}
+    for (i, _), p in zip(rows, parent.tolist(), strict=True):
+        if i is not None:
+            least[p] = min(i, least.get(p, i))
+    want = sorted(((i, int(f.view(np.int64)), least.get(p)) for (i, _), f, p in zip(rows, fp, parent.tolist(), strict=True)), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("root", F.lit(2))
+    assert sorted(((r.doc_id, r.fp, r.component_id) for r in simhash_dedup.near_duplicates(docs).collect()), key=str) == want and len(set(parent.tolist())) < len(rows) - 20
+    # of two rows with one id only the copy of a smaller one goes
+    two = spark.createDataFrame([(1, base[20]), (2, base[20]), (2, base[26])], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash_dedup.one_per_group(two).collect()) == sorted([(1, base[20]), (2, base[26])])
+
+
 def test_pipeline_drops_jaccard_copies(spark, none, tmp_path):
     import corpus_pipeline
     from chunkloom.llm import jaccard_links
@@ -200,20 +266,30 @@ def test_pipeline_stages_brute_force(spark, tmp_path):
     rng = random.Random(1)
     say = lambda n: " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(n))
     item, line = say(12), "a shared line of more than twenty characters"
-    texts = [say(40) for _ in range(30)]
+    texts = [say(40) for _ in range(90)]
     for k in (1, 2, 3):
         texts[k] += "\n" + line
     texts[5] = texts[4]
     texts[6] += " " + item
+    toxic = set(range(30, 90, 2))
+    for k in toxic:
+        w = texts[k].split()
+        for bad in rng.sample(["wretch", "oaf", "cretin"], 2):
+            w.insert(rng.randrange(len(w)), bad)
+        texts[k] = " ".join(w)
+    texts[40] += "\n" + line  # goes before lines are counted
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
         docs = spark.read.parquet(str(tmp_path / f"out{k}"))
         seen[name] = {r.doc_id: r for r in docs.collect()}
-    assert len(seen["toxicity"]) == 30
+    clean = set(range(90)) - toxic
+    assert set(seen["toxicity"]) == clean == set(seen["line_dedup"])
     assert seen["line_dedup"][3].text.endswith(line) and line not in seen["line_dedup"][1].text + seen["line_dedup"][2].text
-    assert set(seen["simhash_dedup"]) == set(range(30)) - {5} and set(seen["decontamination"]) == set(range(30)) - {5, 6} == set(seen["byte_bpe"])
+    assert set(seen["simhash_dedup"]) == clean - {5} and set(seen["decontamination"]) == clean - {5, 6} == set(seen["byte_bpe"])
+    whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert whole == {i: r.ids_sha256 for i, r in seen["byte_bpe"].items()}
