@@ -23,7 +23,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (by fingerprint, or 4/5 of five-word shingles) the document of the smallest id stays."""
-    return simhash_dedup.one_per_group(docs.select(*COLUMNS), more=jaccard_links.links(docs))
+    signed = jaccard_links.signatures(docs)
+    return simhash_dedup.one_per_group(docs.select(*COLUMNS), fps=signed.select("doc_id", "th", "fp"), more=jaccard_links.links(docs, signed=signed))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote meanwhile, and the output of the stage before, is deleted once its own output is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path, since = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}", len(common.WRITTEN)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        common.discard(spark, since)
+        if before:
+            common.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
