@@ -4,8 +4,9 @@ Prefix filtering: under one order of all shingles, two such sets share one of th
 n - ceil(4n/5) + 1 shingles of each. Any order is exact; shingles found often in a sample come last,
 the rest go by hash. Equal sets are one node. In buckets of more than `large` sets all are compared
 with one of them first, in ROUNDS rounds, and pairs joined by then are not compared again.
-Candidates are first bounded: each set comes with the number of its hashes in each of CELLS cells,
-and two sets share at most the sum of the lesser numbers. What may still be alike is verified on
+Candidates are first bounded, within the join by BITS bits: a bit is set if a hash falls on it, so a
+bit that the other set lacks is a shingle that isn't shared. Then each set comes with the number of
+its hashes in each of CELLS cells, and two sets share at most the sum of the lesser numbers. What may still be alike is verified on
 whole sets (of 64-bit hashes), made again from the texts in question: a pair sends one text to where
 the other is, and a node with very many partners is sent to several places, so no task holds more
 than one node's set and a batch of texts.
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, decontamination, simhash_dedup
@@ -34,6 +35,7 @@ ASKED = 500_000
 PARTNERS = 1000
 #: Cells in which a set's hashes are counted, up to 255 in each; sets with a fuller cell aren't bounded.
 CELLS = 512
+BITS = 256
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -72,38 +74,55 @@ def cell_counts(hashes: np.ndarray) -> bytes | None:
     return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else None
 
 
+def bit_set(hashes: np.ndarray) -> np.ndarray:
+    """Which of BITS bits the hashes fall on, as longs; other bits of the hashes than those of the cells say where."""
+    on = np.zeros(BITS, bool)
+    on[(hashes.view(np.uint64) >> np.uint64(32)).astype(np.int64) & (BITS - 1)] = True
+    return np.packbits(on).view(np.int64)
+
+
+def may_share(na: Column, nb: Column, a: Column, b: Column) -> Column:
+    """Whether two sets of these sizes and bits may be alike enough: what either has beyond the other's bits isn't shared."""
+    def beyond(x: Column, y: Column) -> Column:
+        parts = [F.bit_count(x[k].bitwiseAND(F.bitwise_not(y[k]))).cast("long") for k in range(BITS // 64)]
+        return sum(parts[1:], parts[0])
+
+    return (9 * (na - beyond(a, b)) >= 4 * (na + nb)) & (9 * (nb - beyond(b, a)) >= 4 * (na + nb))
+
+
 def signing(hot: list[int], shingle: int):
     last = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = pa.int64()
         for batch in common.sliced(batches):
-            sid, many, firsts, cells = [], [], [], []
+            sid, many, firsts, cells, bits = [], [], [], [], []
             for s in shingle_sets(batch.column("text")):
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 sid.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 many.append(len(s))
                 cells.append(cell_counts(s))
+                bits.append(bit_set(s))
                 firsts.append(np.concatenate([s[~late], s[late]])[: len(s) - -(-4 * len(s) // 5) + 1] if len(s) else s)
             fp = pa.array(simhash_dedup.fingerprint_texts(batch.column("text").to_pylist(), shingle).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), fp, pa.array(sid, long), pa.array(many, long), pa.array(firsts, pa.list_(long)), pa.array(cells, pa.binary())], ["doc_id", "th", "fp", "sid", "n", "prefix", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), fp, pa.array(sid, long), pa.array(many, long), pa.array(firsts, pa.list_(long)), pa.array(cells, pa.binary()), pa.array(bits, pa.list_(long))], ["doc_id", "th", "fp", "sid", "n", "prefix", "cells", "bits"])
 
     return run
 
 
 def signatures(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, th (the text's hash), fp (of shingles of so many words), sid (the set's hash, null without shingles), n, the set's prefix and its cell counts of each row."""
+    """doc_id, th (the text's hash), fp (of shingles of so many words), sid (the set's hash, null without shingles), n, the set's prefix, its cell counts and bits of each row."""
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     some = sets(texts.where("text is not null and pmod(th, 16) = 0").select("th", "text").distinct(), "th").select(F.explode("set").alias("s")).groupBy("s").count()
     hot = [r.s for r in some.where("count >= 3").orderBy(F.desc("count"), "s").limit(HOT).collect()]
-    return common.written(texts.mapInArrow(signing(hot, shingle), "doc_id long, th long, fp long, sid long, n long, prefix array<long>, cells binary"), "signatures")
+    return common.written(texts.mapInArrow(signing(hot, shingle), "doc_id long, th long, fp long, sid long, n long, prefix array<long>, cells binary, bits array<long>"), "signatures")
 
 
 def links(docs: DataFrame, large: int = 8, signed: DataFrame | None = None) -> DataFrame:
     """a, b: fingerprints of documents that are linked; with equal fingerprints joined, they give the same components as all pairs of 4/5 or more. signed: the documents' signatures, if there are some already."""
     rows = (signatures(docs) if signed is None else signed).where("sid is not null")
     texts = docs.select(F.xxhash64("text").alias("th"), F.col("doc_id").cast("long"), "text").where("text is not null")
-    node = {"fp": F.min("fp"), "n": F.min("n"), "text": F.min(F.struct("th", "doc_id")), "cells": F.min("cells")}
+    node = {"fp": F.min("fp"), "n": F.min("n"), "text": F.min(F.struct("th", "doc_id")), "cells": F.min("cells"), "bits": F.min("bits")}
     nodes = common.written(rows.groupBy("sid").agg(*[c.alias(k) for k, c in node.items()]), "nodes")
     # rows of one set may have different fingerprints (another order of words)
     own = rows.select("sid", F.col("fp").alias("a")).distinct().join(nodes.select("sid", F.col("fp").alias("b")), "sid").where("a != b").select("a", "b")
@@ -112,7 +131,7 @@ def links(docs: DataFrame, large: int = 8, signed: DataFrame | None = None) -> D
     found = common.written(members.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0), "jaccard")
     for k in range(ROUNDS + 1):
         roots = simhash_dedup.components(found).select(F.col("node").alias("sid"), "root")
-        now = members.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        now = members.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(nodes.select("sid", "bits"), "sid")
         if k < ROUNDS:
             # the second round's pivot is of another component than the first's
             wide = now.where(F.col("many") > large)
@@ -120,11 +139,12 @@ def links(docs: DataFrame, large: int = 8, signed: DataFrame | None = None) -> D
             wide = wide.join(first, "token")
             if k:
                 wide = wide.where("root != least")
-            pivot = wide.groupBy("token").agg(F.min(F.struct("sid", "n", "root")).alias("p"))
-            pairs = wide.join(pivot, "token").where("root != p.root").select(F.col("p.sid").alias("a"), F.col("sid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
+            pivot = wide.groupBy("token").agg(F.min(F.struct("sid", "n", "root", "bits")).alias("p"))
+            pairs = wide.join(pivot, "token").where("root != p.root").where(may_share(F.col("p.n"), F.col("n"), F.col("p.bits"), F.col("bits")))
+            pairs = pairs.select(F.col("p.sid").alias("a"), F.col("sid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
         else:
-            left, right = (now.select("token", F.col("sid").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x)) for x in "ab")
-            pairs = left.join(right, "token").where("a < b and ra != rb")
+            left, right = (now.select("token", F.col("sid").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x), F.col("bits").alias("bits" + x)) for x in "ab")
+            pairs = left.join(right, "token").where("a < b and ra != rb").where(may_share(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb")))
         pairs = pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = common.written(found.unionByName(verified(common.written(pairs.distinct(), "pairs"), nodes, texts)), "jaccard")
     fp = nodes.select("sid", "fp")
