@@ -65,6 +65,15 @@ def stored_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+#: Rows of a table that Spark may broadcast if it wants to.
+SENT = 100_000
+
+
+def merged(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, joined by sorting both sides; by Spark's choice if it has few rows. Spark's estimates of size know neither compression nor explode, so tables that it takes for small can be too large for the driver."""
+    return df if rows is not None and rows <= SENT else df.hint("merge")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -197,22 +197,39 @@ def linking(radius: int, most: int = 1 << 18):
     return run
 
 
+#: Cells are counted by so many buckets first; those of full buckets are then counted one by one.
+BUCKETS = 65_536
+
+
+def large_cells(cells: DataFrame, cell_limit: int) -> DataFrame | None:
+    """cell, n of the cells of more than cell_limit rows, or None if there are none. Nearly all cells have one row, so a count of each would hold them all."""
+    bucket = F.pmod("cell", F.lit(BUCKETS)).alias("bucket")
+    full = common.written(cells.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > cell_limit).select("bucket"), "full-buckets")
+    if full.isEmpty():
+        return None
+    large = cells.select("cell", bucket).join(F.broadcast(full), "bucket").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit)
+    large = common.written(large, "large-cells")
+    return None if large.isEmpty() else large
+
+
 def links(fps: DataFrame, radius: int = 4, blocks: int = 7, cell_limit: int = 65_536) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that give the same components as all pairs within the radius."""
     masks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m - (1 << 64) if m >> 63 else m).alias("m")) for t, m in enumerate(grid_masks(radius, blocks))])
     rows = fps.select("fp", popcounts(F.col("fp")).alias("counts"), F.explode(masks).alias("x"))
     cells = rows.select(F.xxhash64(F.col("counts").bitwiseAND(F.col("x.m")), "x.t").alias("cell"), "fp")
-    large = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit)
     run, schema = linking(radius), "a long, b long"
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, schema)
 
-    usual = dealt(cells.join(large, "cell", "left_anti"))
+    large = large_cells(cells, cell_limit)
+    if large is None:
+        return dealt(cells).distinct()
+    usual = dealt(cells.join(F.broadcast(large), "cell", "left_anti"))
     # a large cell: n parts; a row meets its own part and every other, each pair of parts being a cell of its own
     parts = F.ceil(F.col("n") / F.lit(cell_limit / 2)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    wide = cells.join(large.select("cell", parts.alias("parts")), "cell").withColumn("mine", mine)
+    wide = cells.join(F.broadcast(large.select("cell", parts.alias("parts"))), "cell").withColumn("mine", mine)
     wide = wide.select("cell", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     wide = wide.select(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "fp")
     return usual.unionByName(dealt(wide)).distinct()
@@ -227,18 +244,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     least, greatest = F.least("a", "b"), F.greatest("a", "b")
     now = common.written(edges.where(F.col("a") != F.col("b")).select(greatest.alias("a"), least.alias("b")).distinct(), name)
     before = None
-    while True:
+    while before != (state := now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()):
+        before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         root = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(root, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(common.merged(root, state.n), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where(F.col("a") != F.col("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = large.join(common.merged(low, state.n), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = common.written(small.where(F.col("a") != F.col("b")).distinct(), name)
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if before == state:
-            break
-        before = state
     star = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return star.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -253,13 +267,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = links(classes, radius, blocks, cell_limit)
     found = components(common.written(linked if more is None else linked.unionByName(more), "links"))
-    joined = common.written(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    joined = common.written(classes.join(common.merged(found), classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = common.written(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "groups")
     bar = joined.count() // GROUPS + 1  # fewer than GROUPS groups can be as large
     wide = F.broadcast(ids.where(F.col("n") >= bar).drop("n"))
-    narrow = joined.join(wide.select("root"), "root", "left_anti").join(ids.where(F.col("n") < bar).drop("n"), "root")
+    narrow = joined.join(wide.select("root"), "root", "left_anti").join(common.merged(ids.where(F.col("n") < bar).drop("n")), "root")
     per_class = joined.join(wide, "root").unionByName(narrow).select("fp", "component_id")
-    return fps.join(per_class, "fp").select("doc_id", "th", "fp", "component_id")
+    return fps.join(common.merged(per_class), "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, **how) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from chunkloom.llm import decontamination, lm_scoring, simhash_dedup, toxicity
+from chunkloom.llm import common, decontamination, lm_scoring, simhash_dedup, toxicity
 
 
 def test_simhash_components_match_all_pairs(spark, docs, none):
@@ -41,6 +41,28 @@ def test_simhash_components_match_all_pairs(spark, docs, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_simhash_links_broadcast_no_cells(spark, tmp_path):
+    spark.range(50_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")  # 35 rows a fingerprint are more than the estimate says
+    plan = simhash_dedup.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_simhash_large_cells_by_full_buckets(spark, monkeypatch):
+    cells = spark.createDataFrame([(c, k) for c in range(-40, 40) for k in range(9 if c % 16 == 0 else 2)], "cell long, fp long")
+    monkeypatch.setattr(simhash_dedup, "BUCKETS", 8)
+    assert sorted(map(tuple, simhash_dedup.large_cells(cells, 8).collect())) == [(c, 9) for c in range(-32, 40, 16)]
+    assert simhash_dedup.large_cells(cells, 9) is None
+
+
+def test_components_of_more_edges_than_are_sent(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 10 != 9] + [(90, 70), (80, 70)], "a long, b long")
+    monkeypatch.setattr(common, "SENT", 0)
+    want = {k: k // 10 * 10 for k in range(40)} | {70: 70, 80: 70, 90: 70}
+    assert {r.node: r.root for r in simhash_dedup.components(edges).collect()} == want
+    assert simhash_dedup.components(edges.where("false")).count() == 0
+
+
 def test_simhash_fingerprint_definition():
     text = "  The Quick\tbrown fox À jumps\nOver the lazy dog " + "again " * 70_000
     words = re.findall("[^\x20\x09-\x0d]+", text)
