@@ -125,30 +125,30 @@ def links(docs: DataFrame, large: int = 8, signed: DataFrame | None = None) -> D
     node = {"fp": F.min("fp"), "n": F.min("n"), "text": F.min(F.struct("th", "doc_id")), "cells": F.min("cells"), "bits": F.min("bits")}
     nodes = common.written(rows.groupBy("sid").agg(*[c.alias(k) for k, c in node.items()]), "nodes")
     # rows of one set may have different fingerprints (another order of words)
-    own = rows.select("sid", F.col("fp").alias("a")).distinct().join(nodes.select("sid", F.col("fp").alias("b")), "sid").where("a != b").select("a", "b")
+    own = rows.select("sid", F.col("fp").alias("a")).distinct().join(common.merged(nodes.select("sid", F.col("fp").alias("b"))), "sid").where("a != b").select("a", "b")
     tokens = rows.groupBy("sid").agg(F.min("n").cast("int").alias("n"), F.min("prefix").alias("prefix")).select(F.explode("prefix").alias("token"), "sid", "n")
     members = common.written(tokens.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1"), "members")
     found = common.written(members.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0), "jaccard")
     for k in range(ROUNDS + 1):
         roots = simhash_dedup.components(found).select(F.col("node").alias("sid"), "root")
-        now = members.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(nodes.select("sid", "bits"), "sid")
+        now = members.join(common.merged(roots), "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(common.merged(nodes.select("sid", "bits")), "sid")
         if k < ROUNDS:
             # the second round's pivot is of another component than the first's
             wide = now.where(F.col("many") > large)
             first = wide.groupBy("token").agg(F.min("root").alias("least"))
-            wide = wide.join(first, "token")
+            wide = wide.join(common.merged(first), "token")
             if k:
                 wide = wide.where("root != least")
             pivot = wide.groupBy("token").agg(F.min(F.struct("sid", "n", "root", "bits")).alias("p"))
-            pairs = wide.join(pivot, "token").where("root != p.root").where(may_share(F.col("p.n"), F.col("n"), F.col("p.bits"), F.col("bits")))
+            pairs = wide.join(common.merged(pivot), "token").where("root != p.root").where(may_share(F.col("p.n"), F.col("n"), F.col("p.bits"), F.col("bits")))
             pairs = pairs.select(F.col("p.sid").alias("a"), F.col("sid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
         else:
             left, right = (now.select("token", F.col("sid").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x), F.col("bits").alias("bits" + x)) for x in "ab")
-            pairs = left.join(right, "token").where("a < b and ra != rb").where(may_share(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb")))
+            pairs = left.join(common.merged(right), "token").where("a < b and ra != rb").where(may_share(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb")))
         pairs = pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = common.written(found.unionByName(verified(common.written(pairs.distinct(), "pairs"), nodes, texts)), "jaccard")
     fp = nodes.select("sid", "fp")
-    ends = found.join(fp.toDF("a", "fa"), "a").join(fp.toDF("b", "fb"), "b").where("fa != fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    ends = found.join(common.merged(fp.toDF("a", "fa")), "a").join(common.merged(fp.toDF("b", "fb")), "b").where("fa != fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     return ends.unionByName(own).distinct()
 
 
@@ -183,7 +183,7 @@ def bounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose cell counts don't rule them out."""
     counts = nodes.select("sid", "n", "cells")
-    both = pairs.join(counts.toDF("a", "na", "ca"), "a").join(counts.toDF("b", "nb", "cb"), "b")
+    both = pairs.join(common.merged(counts.toDF("a", "na", "ca")), "a").join(common.merged(counts.toDF("b", "nb", "cb")), "b")
     return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bounding, "a long, b long")
 
 
@@ -192,10 +192,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = common.written(bounded(pairs, nodes), "close-pairs")
     places = pairs.groupBy("a").agg((F.floor(F.count("*") / PARTNERS) + 1).cast("int").alias("many"))
     whose = nodes.select(F.col("sid").alias("of"), "text.th", "text.doc_id")
-    salted = pairs.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("many")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("of"))
+    salted = pairs.join(common.merged(places), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("many")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("of"))
     heads = places.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("of"))
-    asked = common.written(salted.unionByName(heads).join(whose, "of").drop("of"), "asked")
-    small = F.broadcast(asked) if asked.count() <= ASKED else asked
+    asked = common.written(salted.unionByName(heads).join(common.merged(whose), "of").drop("of"), "asked")
+    small = F.broadcast(asked) if asked.count() <= ASKED else common.merged(asked)
     small = small.withColumnsRenamed({"th": "_th", "doc_id": "_id"})
     rows = texts.join(small, (texts["th"] == F.col("_th")) & texts["doc_id"].eqNullSafe(F.col("_id"))).select("a", "b", "salt", "kind", "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
