@@ -198,6 +198,7 @@ class TextEncoder:
 
 
 def encoding(ranks: dict[bytes, int], pattern: str, digest: bool):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = TextEncoder(ranks, pattern)
         decode = encode.encoder.decode
@@ -231,6 +232,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id and text from the ids of encode(). Bytes that aren't UTF-8 become replacement characters."""
     ranks = read_ranks(ranks_path)
 
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = Encoder(ranks).decode
         for batch in common.sliced(batches):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +104,25 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLI
             at = end
 
 
+def release() -> None:
+    """Give memory that isn't used back to the system, as far as the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; what it held goes back to the system at its end, as a Python worker stays for the tasks that follow and would hold it beside theirs."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words, as runs of letters and digits: distinct words, the code of each word in order, and where each text's words begin (one more than there are texts). Null texts have no words."""
     plain = pc.fill_null(texts.cast(pa.large_string()), "")

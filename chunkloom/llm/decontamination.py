@@ -164,6 +164,7 @@ def blocks_of(items: DataFrame, block: int = BLOCK) -> Iterator[tuple[bool, list
 
 
 def searching(ids: list[int], texts: list[str | None], keep: list[str], hits: str, threshold: float, shingle: int):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts, threshold, shingle)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("of", pa.int64())]))

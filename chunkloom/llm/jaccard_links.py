@@ -61,6 +61,7 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
 def sets(docs: DataFrame, keep: str) -> DataFrame:
     """keep (a long) and the set of each row."""
 
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(shingle_sets(batch.column("text")), pa.list_(pa.int64()))], [keep, "set"])
@@ -93,6 +94,7 @@ def may_share(na: Column, nb: Column, a: Column, b: Column) -> Column:
 def signing(hot: list[int], shingle: int):
     last = np.array(sorted(hot), np.int64)
 
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = pa.int64()
         for batch in common.sliced(batches):
@@ -152,6 +154,7 @@ def links(docs: DataFrame, large: int = 8, signed: DataFrame | None = None) -> D
     return ends.unionByName(own).distinct()
 
 
+@common.released
 def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come as a node's text (kind 0), then its partners' (kind 1): the pairs that are alike enough."""
     now, own = None, np.zeros(0, np.int64)
@@ -168,6 +171,7 @@ def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in found], pa.int64()) for x in (a, b)], ["a", "b"])
 
 
+@common.released
 def bounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with sizes and cell counts: those that may share enough."""
     for batch in common.sliced(batches, 4096):

@@ -84,6 +84,7 @@ def fingerprint_texts(texts: list[str | None], shingle: int = 4) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, th (the text's hash) and fp (long) of each row."""
 
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             fp = pa.array(fingerprint_texts(batch.column("text").to_pylist(), shingle).view(np.int64))
@@ -173,6 +174,7 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarra
 
 
 def linking(radius: int, most: int = 1 << 18):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by cell; whole cells are worked on together."""
         cells, fps, held = [], [], 0

@@ -29,6 +29,7 @@ KEEP = 300_000
 
 
 def counting(blob: bytes, pattern: str, specials: list[str]):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = tokenizer(blob)
         split = Splitter(pattern)

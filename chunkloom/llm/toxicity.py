@@ -36,7 +36,7 @@ from . import common
 MOST_TOXIC, MOST_OTHER, MOST_CHARS = 2000, 4000, 20_000
 SPACE = 1 << 18
 #: Tokens worked on together in training, documents in scoring.
-BATCH, SLICE = 1 << 19, 2048
+BATCH, SLICE = 1 << 19, 1024
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
 #: Features that also weigh on the tokens next to theirs: the word and the prefix of four.
@@ -304,6 +304,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scoring(m: Model, keep: list[str], text: str, name: str, spans: str | None):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, SLICE, text=text):
             lower, codes, begins, words, as_is = tokens(batch.column(text))

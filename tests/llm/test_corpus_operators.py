@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from chunkloom.llm import common, decontamination, lm_scoring, simhash_dedup, toxicity
+from chunkloom.llm import bpe, common, decontamination, jaccard_links, lm_scoring, simhash_dedup, toxicity
 
 
 def test_simhash_components_match_all_pairs(spark, docs, none):
@@ -162,6 +163,21 @@ def test_toxicity_scores_are_brute_force(spark, docs):
         assert abs(got[i] - 1 / (1 + np.exp(-x @ m.doc))) < 1e-6
 
 
+def test_workers_hold_little(monkeypatch):
+    seen, ended = [], []
+    monkeypatch.setattr(toxicity, "marginals", lambda m, words, codes, begins: seen.append(len(begins) - 1) or np.zeros(len(codes)))
+    monkeypatch.setattr(common, "release", lambda: ended.append(1), raising=False)
+    empty = np.zeros(toxicity.SPACE, np.float32)
+    model = toxicity.Model(empty, empty, empty, -4.0, np.zeros((2, 2)), np.zeros(4))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(3000), "text": ["some words"] * 3000})
+    rows = list(toxicity.scoring(model, ["doc_id"], "text", "score", None)(iter([batch])))
+    assert sum(r.num_rows for r in rows) == sum(seen) == 3000 and max(seen) <= 1024 and ended == [1]
+    list(jaccard_links.signing([], 4)(iter([])))
+    list(jaccard_links.comparing(iter([])))
+    list(bpe.encoding({bytes([i]): i for i in range(256)}, r"\S+", True)(iter([])))
+    assert len(ended) == 4
+
+
 def test_toxicity_held_out(spark, docs, none):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
