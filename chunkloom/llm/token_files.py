@@ -17,6 +17,7 @@ document of any length stays in one segment.
 
 from __future__ import annotations
 
+import string
 import struct
 import unicodedata
 import zlib
@@ -33,10 +34,14 @@ from . import common
 from .tokenizing import LATIN, tokenizer
 
 MAGIC = b"PLANES\x01\x00"
-#: Chunks in each of the two generations that an encoder remembers; half the words it remembers.
-KEEP = 250_000
+#: Chunks and words in each of the two generations that an encoder remembers.
+KEEP = 400_000
 #: Fixed value: the split pattern of the word-end BPE file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII characters that are a word after letters.
+MARKS = frozenset(string.punctuation)
+#: The ASCII characters that LATIN leaves out.
+NOT_ALL_BLANK = "\x1c\x1d\x1e\x1f"
 WIDTH = {"byte": 4, "bit": 32}
 #: Stored bytes of the documents that are meant for a file.
 PART_BYTES = 1 << 27
@@ -103,14 +108,27 @@ def byte_letters() -> dict[int, int]:
     return {b: 0x100 + k for k, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Ids of chunks and of words (a word is a chunk that isn't split); those not known yet are taken from the older ones, or asked of the encoder and kept."""
+
+    def __init__(self, ask, older: dict[str, bytes]):
+        super().__init__()
+        self.ask, self.older = ask, older
+
+    def __missing__(self, c: str) -> bytes:
+        if (found := self.older.get(c)) is None:
+            found = self.ask(c)
+        self[c] = found
+        return found
+
+
 class WordEncoder:
-    """Texts to ids as the library gives them; chunks between white space are looked up in two generations of KEEP, the words in new chunks among up to 2 * KEEP words."""
+    """Texts to ids as the library gives them; chunks between white space and the words in them are looked up in two generations of about KEEP."""
 
     def __init__(self, blob: bytes):
         import json
 
         self.library, self.split = tokenizer(blob), regex.compile(WORD_PATTERN).findall
-        self.known, self.older, self.words = {}, {}, {}
         rules = json.loads(blob)
         pattern = json.dumps(rules.get("pre_tokenizer"))
         if json.dumps(WORD_PATTERN) not in pattern or "</w>" not in json.dumps(rules["model"].get("end_of_word_suffix")):
@@ -118,45 +136,40 @@ class WordEncoder:
         self.specials = [t["content"] for t in rules["added_tokens"]]
         self.model, self.visible = self.library.model, byte_letters()
         self.raw = [struct.pack("<I", k) for k in range(self.library.get_vocab_size())]
+        self.known = Known(self.ask, {})
 
     def word(self, w: str) -> bytes:
         """The ids of one word: it is normalised and split already, so the library's model alone is asked."""
-        if (found := self.words.get(w)) is None:
-            letters = w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.visible)  # visible ASCII letters stand for themselves
-            found = self.words[w] = b"".join([self.raw[p.id] for p in self.model.tokenize(letters)])
-        return found
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of all these chunks into known."""
-        new = chunks - self.known.keys()
-        if len(self.known) + len(new) > KEEP:
-            self.older, self.known, new = self.known, {}, chunks
-        if len(self.words) > 2 * KEEP:
-            self.words.clear()
-        older, word, split = self.older.get, self.word, self.split
-        for c in new:
-            if (found := older(c)) is None:
-                found = word(c) if c.isalpha() else b"".join(map(word, split(c)))
-            self.known[c] = found
+        letters = w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.visible)  # visible ASCII letters stand for themselves
+        raw = self.raw
+        return b"".join([raw[p.id] for p in self.model.tokenize(letters)])
+
+    def ask(self, c: str) -> bytes:
+        """The ids of a chunk that isn't known."""
+        if c.isalpha():
+            return self.word(c)
+        if c[-1] in MARKS and c[:-1].isalpha():
+            return self.known[c[:-1]] + self.known[c[-1]]
+        words = self.split(c)
+        return self.word(c) if words == [c] else b"".join(map(self.known.__getitem__, words))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        chunks: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
+        out = []
+        for text in texts:
+            if len(self.known) > KEEP:
+                older, self.known = self.known, Known(self.ask, self.known)
+                older.older = {}  # else no generation would ever go
             if not text:
-                continue
-            if not LATIN.fullmatch(text) or any(s in text for s in self.specials):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                out.append(b"")
+            elif any(s in text for s in self.specials) or not (LATIN.fullmatch(text) if not text.isascii() else not any(s in text for s in NOT_ALL_BLANK)):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                chunks[i] = unicodedata.normalize("NFC", text).lower().split()
-        self.learn(set().union(*chunks.values()))
-        get = self.known.__getitem__
-        for i, c in chunks.items():
-            out[i] = b"".join(map(get, c))
+                out.append(b"".join(map(self.known.__getitem__, unicodedata.normalize("NFC", text).lower().split())))
         return out
 
 
 def writing(blob: bytes, end_id: int, kind: str, block: int, segment_ids: int):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -183,6 +196,7 @@ def writing(blob: bytes, end_id: int, kind: str, block: int, segment_ids: int):
     return run
 
 
+@common.released
 def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.sliced(batches, 1):
         at = batch.column("start")[0].as_py()

@@ -72,6 +72,20 @@ def test_token_files(spark, docs, none, tmp_path, kind):
     assert token_files.read(spark, str(tmp_path / "n"), with_ids=False).count() == 0
 
 
+def test_word_encoder_generations(monkeypatch):
+    path, keep = public_tokenizers.path("word_bpe_49k.json"), 100
+    library, encoder = Tokenizer.from_file(path), token_files.WordEncoder(open(path, "rb").read())
+    monkeypatch.setattr(token_files, "KEEP", keep)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6)))
+    ends = ["", "", "", ",", "'", "'s", "''s", "...", "(9)", "_x", "a\u0301", "\u2019t", "\u200b", "\u00b2", "\u00aa", "\x7f", "\x1d", "."]
+    texts = [" ".join(word() + rng.choice(ends) for _ in range(20)) for _ in range(60)] + ["' . 's ''s (", "Don't DON'T don't, '", "\x0b\x1f x", "<|endoftext|> y"]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= keep + 100 and len(encoder.known.older) <= keep + 100 and not encoder.known.older.older
+
+
 def test_line_dedup(docs, none):
     rows = source(docs)
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
